@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,8 +66,7 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
     """Cut a record batch into runs of rows whose text stays under most_bytes; a longer text stands alone."""
-    at = batch.schema.get_field_index(column)
-    lengths = [len(x) if x is not None else 0 for x in batch.column(at).cast(pa.binary())] if batch.num_rows < 2 else _lengths(batch.column(at))
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = size = 0
     for i, n in enumerate(lengths):
         if i > start and size + n > most_bytes:
@@ -76,8 +76,3 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
     if batch.num_rows > start:
         yield batch.slice(start)
 
-
-def _lengths(column: pa.Array) -> list[int]:
-    import pyarrow.compute as pc
-
-    return pc.fill_null(pc.binary_length(column), 0).to_pylist()

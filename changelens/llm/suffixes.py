@@ -192,7 +192,7 @@ def contexts(docs: DataFrame, keys: DataFrame, length: int, bits: int, splitters
     """Suffixes whose lead repeats, with the bytes of their windows, by ranges of the lead; and what a shard finds by itself.
 
     Range r >= 0: rows, a matrix of [suffix][bytes before it, reversed][bytes used behind, before], and of each the
-    smallest document that has it in the shard, with the place of the suffix. Range -1: documents of the shard and the first and last windows that
+    smallest document that has it in the shard, with each place of the suffix in that document. Range -1: documents of the shard and the first and last windows that
     an equal row of a smaller document covers.
     """
     left = length - LEAD
@@ -244,7 +244,7 @@ def contexts(docs: DataFrame, keys: DataFrame, length: int, bits: int, splitters
         rows = []
         if later.any():
             rows.append((-1, shard, b"", doc[later].astype("<i8").tobytes(), np.stack([place - before, place + behind - length], 1)[later].astype("<i8").tobytes()))
-        own = np.flatnonzero(new)
+        own = np.flatnonzero(~later)  # a document may hold its own row again elsewhere
         m, doc, place, h = m[own], doc[own], place[own], h[own]
         lead16 = np.ascontiguousarray(m[:, :16]).view("S16").ravel()
         lo, hi = np.searchsorted(splitters, lead16, "left"), np.searchsorted(splitters, lead16, "right")
@@ -291,6 +291,7 @@ def compared(found: DataFrame, length: int) -> DataFrame:
         gone = [np.stack([np.flatnonzero(whole), (place - before)[whole], (place + behind - length)[whole]])]
         # Rows of one lead that differ may share some windows: compare those window by window.
         um, udoc = m[first], doc[first]
+        times = np.add.reduceat(~whole, first, dtype=np.int64) if len(first) else first
         lead = _runs(_as_rows(um[:, :LEAD]))
         alone = np.bincount(lead)[lead] == 1
         pick = np.flatnonzero(~alone)
@@ -300,7 +301,11 @@ def compared(found: DataFrame, length: int) -> DataFrame:
             while stop < len(pick) and lead[pick[stop]] == lead[pick[stop - 1]]:
                 stop += 1
             part = pick[start:stop]
-            gone += _window_ranks(um[part], udoc[part], lead[part], part, first, place, before, length)
+            u, shift = _window_ranks(um[part], udoc[part], lead[part], length)
+            u = part[u]
+            row = np.repeat(first[u] - np.concatenate([[0], np.cumsum(times[u])[:-1]]), times[u]) + np.arange(times[u].sum())
+            at = place[row] + np.repeat(shift, times[u])
+            gone.append(np.stack([row, at, at]))
             start = stop
         at, lo, hi = np.concatenate(gone, 1).astype(np.int64)
         order = np.argsort(shard[at], kind="stable")
@@ -312,8 +317,8 @@ def compared(found: DataFrame, length: int) -> DataFrame:
     return found.filter("range >= 0").groupBy("range").applyInArrow(run, "shard int, docs binary, places binary")
 
 
-def _window_ranks(m: np.ndarray, doc: np.ndarray, lead: np.ndarray, part: np.ndarray, first: np.ndarray, place: np.ndarray, before: np.ndarray, length: int) -> list[np.ndarray]:
-    """Windows of different rows of equal lead, ranked by distance to the suffix and bytes: those that a smaller document has."""
+def _window_ranks(m: np.ndarray, doc: np.ndarray, lead: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of different rows of equal lead, ranked by distance to the suffix and bytes: (row, distance) of those that a smaller document has."""
     left = length - LEAD
     line = np.concatenate([m[:, length : length + left][:, ::-1], m[:, :length]], 1)  # bytes in text order; the suffix starts at `left`
     pre, post = m[:, -1].astype(np.int64), m[:, -2].astype(np.int64)
@@ -337,10 +342,7 @@ def _window_ranks(m: np.ndarray, doc: np.ndarray, lead: np.ndarray, part: np.nda
     head = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
     least = doc[r[head]][np.cumsum(np.concatenate([[0], rank[1:] != rank[:-1]]))] if len(rank) else doc[:0]
     late = doc[r] > least
-    r, at = r[late], at[late]
-    row = first[part[r]]
-    start = place[row] + at - left
-    return [np.stack([row, start, start])]
+    return r[late], at[late] - left
 
 
 def removal(docs: DataFrame, length: int = 50) -> DataFrame:
