@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from .common import LOWER_BYTES, byte_texts, written
 
-#: A bin over this size is dealt again by its other bits before pairs are compared, so that no bin is unbounded.
-BIN_ROWS = 4096
+#: A bin over this size is dealt again by its other bits before pairs are compared, and this often at most.
+BIN_ROWS, ROUNDS = 4096, 3
+#: What sending a probe costs in comparisons of a candidate, and probes of a partition that are worth considering.
+PROBE_COST, MOST_PROBES = 200.0, 600
 #: Fingerprints, at most, that the driver looks at to choose partitions and thresholds.
 PLAN_SAMPLE = 2048
 
@@ -68,7 +70,7 @@ def choose_partitions(sample: np.ndarray, n: int, tau: int) -> list[tuple[tuple[
     half = len(sample) // 2
     x = sample[:half].view(np.uint64)[:, None] ^ sample[half : 2 * half].view(np.uint64)[None, :512] if half else np.zeros((1, 0), np.uint64)
     best = (float("inf"), None)
-    for m in range(1, tau + 2):
+    for m in range(2, tau + 2):
         groups, free = [], set(range(64))
         for g in range(m):
             want = 64 // m + (g < 64 % m)
@@ -88,7 +90,7 @@ def choose_partitions(sample: np.ndarray, n: int, tau: int) -> list[tuple[tuple[
                 probes = sum(comb(len(g), k) for k in range(t + 1))
                 seen = float((near <= t).mean()) if near.size else 0.0
                 random = probes / 2.0 ** len(g)
-                row.append(n * probes * 20.0 + n * n / 2 * max(seen, random))
+                row.append(n * probes * PROBE_COST + n * n / 2 * max(seen, random) if probes <= MOST_PROBES else float("inf"))
             cost.append(row)
         table = {0: (0.0, ())}
         for row in cost:
@@ -131,9 +133,13 @@ def bins(fps: DataFrame, plan: list[tuple[tuple[int, ...], int]]) -> DataFrame:
 
 
 def refined(rows: DataFrame, tau: int, most: int = BIN_ROWS) -> DataFrame:
-    """Deal bins of over `most` rows again: of tau + 1 groups of their other bits two links share one, so no link is lost."""
+    """Deal bins of over `most` rows again: of tau + 1 groups of their other bits two links share one, so no link is lost.
+
+    What still shares a bin after ROUNDS agrees in over half of the bits: groups of near copies, mostly linked. They are compared
+    as they are, and a bin leaves the comparison once all its rows are connected.
+    """
     done: DataFrame | None = None
-    for depth in range(1, 12):
+    for depth in range(1, ROUNDS + 1):
         rows = written(rows, "simhash-bins")
         hot = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key")
         if hot.isEmpty():
@@ -147,7 +153,7 @@ def refined(rows: DataFrame, tau: int, most: int = BIN_ROWS) -> DataFrame:
             mask = sum(1 << b for b in range(64) if (b * (2 * depth + 1) // 3 + depth) % (tau + 1) == j)
             take = F.lit(_signed(mask)).bitwiseAND(F.bitwise_not("used"))
             parts.append(F.struct(F.xxhash64(F.lit(depth), F.lit(j), "key", F.col("fp").bitwiseAND(take)).alias("k"), F.col("used").bitwiseOR(take).alias("u")))
-        rows = rows.join(hot, "key", "left_semi").select("fp", F.explode(F.array(*parts)).alias("e")).select(F.col("e.k").alias("key"), F.col("e.u").alias("used"), "fp")
+        rows = rows.join(hot, "key", "left_semi").select("fp", F.explode(F.array(*parts)).alias("e")).select(F.col("e.k").alias("key"), F.col("e.u").alias("used"), "fp").distinct()
     return done.unionByName(rows)
 
 
@@ -159,8 +165,13 @@ def _forest(keys: np.ndarray, fps: np.ndarray, tau: int) -> tuple[np.ndarray, np
     while len(at):
         at = at[at + d < len(keys)]
         at = at[keys[at] == keys[at + d]]
+        if d & (d - 1) == 0 and d > 8 and len(at):
+            # rows of bins that are one component by now need no more comparisons
+            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            whole = np.minimum.reduceat(root, start) == np.maximum.reduceat(root, start)
+            at = at[~whole[np.searchsorted(start, at, "right") - 1]]
         a, b = at, at + d
-        near = (root[a] != root[b]) & (np.bitwise_count((fps[a] ^ fps[b]).view(np.uint64)) <= tau)
+        near = (root[a] != root[b]) & (fps[a] != fps[b]) & (np.bitwise_count((fps[a] ^ fps[b]).view(np.uint64)) <= tau)
         a, b = a[near], b[near]
         while len(a):
             lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
@@ -193,7 +204,7 @@ def links(rows: DataFrame, tau: int, parts: int) -> DataFrame:
                 keys, fps = keys[n:], fps[n:]
         yield out(len(keys))
 
-    dealt = rows.select("key", "fp").distinct().repartition(parts, "key").sortWithinPartitions("key")
+    dealt = rows.select("key", "fp").repartition(parts, "key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(run, "a long, b long").filter("a != b").distinct()
 
 
