@@ -1,0 +1 @@
+"""Incremental upkeep of aggregates that can be kept so."""
