@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u != v")
     pairs = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     if pairs.isEmpty():
-        return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        ends = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(ends)
     seen = None
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -42,4 +43,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         if now == seen:
             break
         seen = now
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    ends = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(ends)
