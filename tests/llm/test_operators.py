@@ -297,8 +297,11 @@ def components(ids, fps, tau=3):
     return [low.get(find(i)) for i in range(len(ids))]
 
 
-def test_simhash(odd, none, documents):
-    for df in (odd, documents):
+def test_simhash(spark, odd, none, documents):
+    rng = np.random.default_rng(9)
+    texts = [[f"w{x}" for x in rng.integers(0, 5000, 800)] for _ in range(6)]
+    near = [(100 - 7 * k - i, " ".join(w if j != 31 * k else "other" for j, w in enumerate(t))) for i, t in enumerate(texts) for k in range(5)]
+    for df in (spark.createDataFrame(near, "doc_id long, text string"), odd, documents):
         docs = rows_of(df)
         fps = [slow_fingerprint(t) for _, t in docs]
         want = [(i, f"{f:016x}", c) for (i, _), f, c in zip(docs, fps, components([i for i, _ in docs], fps), strict=True)]
