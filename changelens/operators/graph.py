@@ -20,7 +20,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, component) of each node that has an edge to another; component is the smallest node that it reaches.
+    """(node, component) of each node that has an edge to another, the smallest included; component is the smallest node that it reaches.
 
     Alternating large-star and small-star rounds: the edge table shrinks towards stars around each component's minimum,
     in a number of rounds that grows with the logarithm of the diameter. Minima per node are map-side combined
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     pairs = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     if pairs.isEmpty():
         ends = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(ends)
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     seen = None
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
