@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, release, slices, written
+from .common import byte_texts, kept_at, release, remove, slices, written
 
 #: Leading bytes by which suffixes are grouped. Of the windows of LENGTH bytes each names one suffix of LEAD bytes in it.
 LEAD = 24
 #: Text to a shard, text whose suffixes are looked at together, and suffixes that the splitters are sampled from, about.
-SHARD_BYTES, CHUNK_BYTES, SPLIT_SAMPLE = 16 << 20, 2 << 20, 20_000
+SHARD_BYTES, CHUNK_BYTES, SPLIT_SAMPLE = 8 << 20, 1 << 20, 20_000
 BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 P = 0x9E3779B97F4A7C15
 POWERS = {k: np.uint64(pow(P, k, 1 << 64)) for k in (1, 2, 4, 8)}
@@ -297,7 +297,7 @@ def compared(found: DataFrame, length: int) -> DataFrame:
         pick = np.flatnonzero(~alone)
         start = 0
         while start < len(pick):
-            stop = min(start + 40_000, len(pick))
+            stop = min(start + 5_000, len(pick))
             while stop < len(pick) and lead[pick[stop]] == lead[pick[stop - 1]]:
                 stop += 1
             part = pick[start:stop]
@@ -361,23 +361,30 @@ def removal(docs: DataFrame, length: int = 50) -> DataFrame:
     null = -(1 << 63)
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    buckets = max(16, -(-total // (16 << 20)))
+    buckets = max(16, -(-total // (8 << 20)))
     density = (length - LEAD + 2) / 2
     leads_about = max(1, int(total / density))
     bits = min(64, max(32, leads_about.bit_length() + 10))
     below = min((1 << 64) - 1, (1 << 64) * SPLIT_SAMPLE // leads_about)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(null)).alias("doc_id"), "text")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    found = written(leads(rows, length, shards, buckets, bits, below), "suffix-leads")
+    found, leads_at = kept_at(leads(rows, length, shards, buckets, bits, below), "suffix-leads")
     sample = b"".join(r["blob"] for r in found.filter("bucket = -1").select("blob").toLocalIterator())
     sample = np.sort(np.frombuffer(sample, "S16"))
     ranges = max(16, 2 * buckets)
     splitters = sample[np.linspace(0, len(sample) - 1, ranges + 1).astype(int)[1:-1]] if len(sample) > ranges else sample
-    keys = written(repeated(found), "suffix-repeated")
-    rest = written(contexts(rows, keys, length, bits, splitters), "suffix-contexts")
+    keys, keys_at = kept_at(repeated(found), "suffix-repeated")
+    remove(spark, leads_at)
+    del found
+    release(spark)
+    rest, rest_at = kept_at(contexts(rows, keys, length, bits, splitters), "suffix-contexts")
+    remove(spark, keys_at)
+    del keys
     release(spark)
     spans = compared(rest, length).unionByName(rest.filter("range = -1").select("shard", "docs", "places"))
     spans = written(spans, "suffix-spans")
+    remove(spark, rest_at)
+    del rest
     release(spark)
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
