@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_texts, slices, written
-from .tokens import WordCache, default_tokenizer
+from .tokens import default_tokenizer, word_cache
 
 END = (1).to_bytes(4, "little")
 
@@ -20,7 +20,7 @@ def pieces(docs: DataFrame, most: int = 2048, tokenizer: str | None = None) -> D
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordCache(path)
+        words = word_cache(path)
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 rows: list[tuple] = []

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_texts, fresh_path, slices, written
-from .tokens import WordCache, default_tokenizer
+from .tokens import default_tokenizer, word_cache
 
 KEYS = ("source", "lang", "version")
 DELTA = "source string, lang string, version string, n_docs long, n_tokens long"
@@ -21,7 +21,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordCache(path)
+        words = word_cache(path)
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 texts = byte_texts(part.column(3))

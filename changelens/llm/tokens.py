@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 
-#: Words that a worker remembers; the cache starts anew beyond.
-CACHE_WORDS = 1_000_000
+#: Words that a worker remembers, from task to task; the cache starts anew beyond.
+CACHE_WORDS = 600_000
 
 
 def default_tokenizer() -> str:
@@ -16,6 +17,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(maxsize=2)
+def word_cache(path: str) -> WordCache:
+    """This process's cache for a tokenizer."""
+    return WordCache(path)
+
+
 class WordCache:
     """Ids of UTF-8 texts as little-endian unsigned 32-bit bytes.
 
