@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import struct
 from functools import lru_cache
+from itertools import islice
 
-import numpy as np
-
-#: Words that a worker remembers, from task to task; the cache starts anew beyond.
-CACHE_WORDS = 600_000
+#: Words that a worker remembers, from task to task; beyond, the half that it met first stays, which holds the frequent ones.
+CACHE_WORDS = 800_000
+LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
 def default_tokenizer() -> str:
@@ -38,14 +39,26 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
+    def _encode(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                ids = e.ids
+                self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
+        # The tokenizer lower-cases all but its special tokens, which start with <|; doing so first makes fewer words.
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
+            self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))
         known = self.known
-        new = [w for w in set().union(*words) if w not in known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        new = set().union(*words).difference(known)
+        # A stop or comma behind an ASCII letter is a piece of its own: those words are put together from two known ones.
+        ended = [w for w in new if w[-1:] in (b".", b",") and len(w) > 1 and w[-2] in LETTERS]
+        new.difference_update(ended)
+        new.update(w[:-1] for w in ended)
+        new.update(w[-1:] for w in ended)
+        self._encode([w for w in new if w not in known])
+        for w in ended:
+            known[w] = known[w[:-1]] + known[w[-1:]]
         return [b"".join(map(known.__getitem__, w)) for w in words]
