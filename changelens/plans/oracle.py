@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 VALID = "scl NOT IN (0, 1, 3, 8, 9, 10, 11)"
 
 
@@ -156,20 +158,21 @@ FINAL = {
 }
 
 
+def _needed(sql: str, seen: dict[str, None]) -> dict[str, None]:
+    for name in CTE:
+        if name not in seen and re.search(rf"\b{name}\b", sql) and re.search(rf"(FROM|JOIN|,)\s+{name}\b", sql):
+            if "reach" not in name or not sql.startswith("SELECT id AS src"):
+                seen[name] = None
+                _needed(CTE[name], seen)
+    return seen
+
+
+def compose(sql: str) -> str:
+    """sql behind the common table expressions that it needs."""
+    want = _needed(sql, {})
+    ctes = ", ".join(f"{n} AS ({CTE[n]})" for n in CTE if n in want)
+    return (f"WITH RECURSIVE {ctes} " if ctes else "") + sql
+
+
 def oracle_sql() -> dict[str, str]:
-    import re
-
-    def needed(sql: str, seen: dict[str, None]) -> dict[str, None]:
-        for name in CTE:
-            if name not in seen and re.search(rf"\b{name}\b", sql) and re.search(rf"(FROM|JOIN|,)\s+{name}\b", sql):
-                if "reach" not in name or not sql.startswith("SELECT id AS src"):
-                    seen[name] = None
-                    needed(CTE[name], seen)
-        return seen
-
-    out = {}
-    for key, sql in FINAL.items():
-        want = needed(sql, {})
-        ctes = ", ".join(f"{n} AS ({CTE[n]})" for n in CTE if n in want)
-        out[key] = (f"WITH RECURSIVE {ctes} " if ctes else "") + sql
-    return out
+    return {key: compose(sql) for key, sql in FINAL.items()}
