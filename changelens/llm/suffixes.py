@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, kept_at, release, remove, slices, written
+from .common import byte_texts, kept_at, remove, slices, written
 
 #: Leading bytes by which suffixes are grouped. Of the windows of LENGTH bytes each names one suffix of LEAD bytes in it.
 LEAD = 24
@@ -375,17 +375,11 @@ def removal(docs: DataFrame, length: int = 50) -> DataFrame:
     splitters = sample[np.linspace(0, len(sample) - 1, ranges + 1).astype(int)[1:-1]] if len(sample) > ranges else sample
     keys, keys_at = kept_at(repeated(found), "suffix-repeated")
     remove(spark, leads_at)
-    del found
-    release(spark)
     rest, rest_at = kept_at(contexts(rows, keys, length, bits, splitters), "suffix-contexts")
     remove(spark, keys_at)
-    del keys
-    release(spark)
     spans = compared(rest, length).unionByName(rest.filter("range = -1").select("shard", "docs", "places"))
     spans = written(spans, "suffix-spans")
     remove(spark, rest_at)
-    del rest
-    release(spark)
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def apply(t: pa.Table, s: pa.Table) -> pa.Table:
