@@ -29,6 +29,7 @@ def pieces(docs: DataFrame, most: int = 2048, tokenizer: str | None = None) -> D
                     n = len(ids) // 4
                     rows += [(doc, s, min(most, n - s), zlib.crc32(ids[4 * s : 4 * (s + most)]), n) for s in range(0, n, most)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        words.settle()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 

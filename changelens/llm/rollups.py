@@ -28,6 +28,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 n = [len(t.split()) for t in texts]
                 ids = [len(x) // 4 for x in words.ids(texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "source", "lang", "n_words", "n_bpe"])
+        words.settle()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), "text").mapInArrow(run, "doc_id long, source string, lang string, n_words long, n_bpe long")
 
