@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_texts, slices, written
+from .common import byte_texts, give_back, slices, written
 
 #: Words of the contract after lower-casing A-Z: every other ASCII byte becomes a space, bytes from 0x80 stay.
 WORD_TABLE = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
@@ -220,6 +220,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard
                     spans = [[{"start": a, "end": b} for a, b in x] for x in spans]
                     cols = [pa.array([x[0] for x in found], pa.int64()), pa.array(spans, span), pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *cols], [*own, "n_words", "hit_spans", "hit_items"])
+                    del found, spans, names, cols
+            give_back()
 
         out, first = out.mapInArrow(run, schema), False
     return out

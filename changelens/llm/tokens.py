@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import ctypes
 import os
 import struct
 from functools import lru_cache
 from itertools import islice
 
-import pyarrow as pa
+from .common import give_back
 
 #: Words that a worker remembers, from task to task; beyond, the half that it met first stays, which holds the frequent ones.
 CACHE_WORDS = 800_000
@@ -53,10 +52,7 @@ class WordCache:
         """At the end of a task: keep at most half the words and give free memory back, which an idle worker would hold."""
         if len(self.known) > CACHE_WORDS // 2:
             self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         # The tokenizer lower-cases all but its special tokens, which start with <|; doing so first makes fewer words.
