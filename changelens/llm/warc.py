@@ -17,7 +17,7 @@ from .common import fresh_path, written
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes that a task owns, and bytes that it reads at a time.
 SPLIT_BYTES, READ_BYTES = 8 << 20, 1 << 20
-#: A candidate member must show a whole WARC header within this many decoded bytes.
+#: Decoded bytes by which a candidate member is judged at first; a WARC header may go on beyond them.
 HEADER_BYTES = 64 << 10
 
 
@@ -64,7 +64,8 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
 def owned_records(file, size: int, start: int, end: int) -> Iterator[bytes]:
     """Decoded members whose gzip magic stands in [start, end) of a seekable file.
 
-    A magic number inside compressed data is a candidate only: its member must decode to the start of a WARC header.
+    A magic number inside compressed data is a candidate only: its member must decode to a WARC header, which ends with a
+    blank line and may be of any length; decoding goes on to that line or to the member's end.
     From a valid member the next begins at its end. The last owned member is read beyond `end` as far as it goes, so
     neighbouring splits neither lose nor repeat a record. Memory is one read and one record.
     """
@@ -96,16 +97,20 @@ def owned_records(file, size: int, start: int, end: int) -> Iterator[bytes]:
             return
         z = zlib.decompressobj(31)
         try:
-            head = z.decompress(window[found:], HEADER_BYTES)
+            head = bytearray(z.decompress(window[found:], HEADER_BYTES))
             used = len(window) - found
-            while len(head) < HEADER_BYTES and not z.eof and at + used < size:
+            blank = head.find(b"\r\n\r\n")
+            while not z.eof and (z.unconsumed_tail or at + used < size) and (len(head) < HEADER_BYTES or blank < 0 and head.startswith(b"WARC/1.")):
                 fill(at + used + READ_BYTES)
-                head += z.decompress(z.unconsumed_tail + window[found + used :], HEADER_BYTES - len(head))
+                seen = len(head)
+                head += z.decompress(z.unconsumed_tail + window[found + used :], HEADER_BYTES - seen if seen < HEADER_BYTES else READ_BYTES)
                 used = len(window) - found
+                if blank < 0:
+                    blank = head.find(b"\r\n\r\n", max(0, seen - 3))
         except zlib.error:
             at += 1
             continue
-        if not head.startswith(b"WARC/1.") or b"\r\n\r\n" not in head or b"warc-type:" not in head.lower():
+        if not head.startswith(b"WARC/1.") or blank < 0 or b"warc-type:" not in head[:blank].lower():
             at += 1
             continue
         data = [head]
@@ -163,10 +168,27 @@ def read_archives(spark: SparkSession, path: str, manifest: DataFrame, split_byt
 
     Each task scans a byte range. For a response the payload is taken from the block and its digest is computed and
     held against the header; a revisit has no payload, and its length and digest come from its headers. An archive
-    without records gives no row; a response whose digest doesn't match fails the job.
+    without records gives no row; a response whose digest doesn't match fails the job. A pass before counts the records
+    of each file by the same ranges, and a file that holds others than n_records of the manifest is an error.
     """
     ranges = manifest.filter("n_bytes > 0").select("file", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranges = ranges.repartition(parts, "file", "start")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = _store(path)
+        for b in batches:
+            found = []
+            for name, size, start in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                with store.open_input_file(f"{folder}/{name}") as file:
+                    found.append(sum(1 for _ in owned_records(file, size, start, start + split_bytes)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["file", "n"])
+
+    n_read = ranges.mapInArrow(count, "file string, n long").groupBy("file").agg(F.sum("n").alias("n_read"))
+    held = manifest.select("file", "n_records").join(n_read, "file", "left").withColumn("n_read", F.coalesce("n_read", F.lit(0)))
+    off = held.filter("n_read != n_records").first()
+    if off is not None:
+        raise ValueError(f"{off['file']} holds {off['n_read']} records that can be read, the manifest has {off['n_records']}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _store(path)
@@ -186,7 +208,7 @@ def read_archives(spark: SparkSession, path: str, manifest: DataFrame, split_byt
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return ranges.repartition(parts, "file", "start").mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return ranges.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def _urn(value: str) -> int | None:

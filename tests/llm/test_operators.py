@@ -222,6 +222,33 @@ def test_owned_records_false_magic():
         assert both == [record, record]
 
 
+def test_owned_records_long_header():
+    noise = base64.b64encode(np.random.default_rng(11).bytes(3 << 20)).decode()
+    urls = ["u", "data:," + "x" * (65 << 10), "data:;base64," + noise, "v"]
+    records = [warc.record(i, u, b"page %d" % i, None) for i, u in enumerate(urls)]
+    data = b"".join(map(warc._gzip, records))
+    for cut in (0, 1, 300, len(data) // 2, len(data) - 1):
+        both = [*warc.owned_records(io.BytesIO(data), len(data), 0, cut), *warc.owned_records(io.BytesIO(data), len(data), cut, len(data))]
+        assert both == records
+
+
+def test_warc_long_urls(spark):
+    long = "data:text/html," + "0123456789" * 20_000
+    rows = [(1, "u1", "same"), (9, long + "9", "same"), (2, long, "other"), (3, None, "third")]
+    got = warc.digest(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), 500).collect()
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in got} == {(1, "revisit", 9), (9, "response", None), (2, "response", None), (3, "response", None)}
+    assert len(got) == len(rows)
+
+
+def test_warc_manifest_counts(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    manifest = warc.write_archives(spark.createDataFrame([(i, "u", str(i)) for i in range(20)], "page_id long, url string, html string").repartition(2), path)
+    assert warc.read_archives(spark, path, manifest, 300).count() == 20
+    for by in (-1, 1):
+        with pytest.raises(ValueError, match="manifest"):
+            warc.read_archives(spark, path, manifest.selectExpr("file", "n_bytes", f"n_records + {by} AS n_records"), 300).count()
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 
