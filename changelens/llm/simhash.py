@@ -43,15 +43,15 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     return int(sum(1 << int(b) for b in on))
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. Null texts have no words."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the long columns named in also: fp is the fingerprint as a signed long. Null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, words, seed) for t in byte_texts(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *also).mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in also)]))
 
 
 def choose_partitions(sample: np.ndarray, n: int, tau: int) -> list[tuple[tuple[int, ...], int]]:
@@ -208,15 +208,13 @@ def links(rows: DataFrame, tau: int, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").filter("a != b").distinct()
 
 
-def near_duplicates(docs: DataFrame, tau: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of each row of docs.
+def components(docs: DataFrame, tau: int = 3, words: int = 3, seed: int = 42, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id, root) of each row of docs, with the long columns named in also.
 
-    component_id is the smallest doc_id that links of tau bits or fewer reach; rows with a null doc_id take part and
-    give no id, so a component of them alone has null. Exact copies and equal fingerprints collapse before any join.
-    Repeated rows come back as often as they stand in docs.
+    root, the smallest fingerprint of a component, tells components apart where component_id is null or stands in several.
     """
     spark = docs.sparkSession
-    own = written(fingerprints(docs, words, seed), "simhash-fp")
+    own = written(fingerprints(docs, words, seed, also), "simhash-fp")
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("cid"))
     n = classes.count()
     share = min(1.0, PLAN_SAMPLE / max(1, n))
@@ -226,7 +224,41 @@ def near_duplicates(docs: DataFrame, tau: int = 3, words: int = 3, seed: int = 4
     edges = written(links(refined(bins(classes.select("fp"), plan), tau), tau, parts), "simhash-links")
     roots = connected_components(edges, "a", "b")
     merged = roots.join(classes, roots["node"] == classes["fp"]).groupBy("component").agg(F.min("cid").alias("low"))
-    moved = roots.join(merged, "component").select(F.col("node").alias("fp"), "low")
-    final = classes.join(moved, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("low", "cid").alias("component_id"))
-    out = own.join(final, own["fp"] == final["_fp"])
+    moved = roots.join(merged, "component").select(F.col("node").alias("fp"), "low", "component")
+    final = classes.join(moved, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("low", "cid").alias("component_id"), F.coalesce("component", "fp").alias("root"))
+    return own.join(final, own["fp"] == final["_fp"]).drop("_fp")
+
+
+def near_duplicates(docs: DataFrame, tau: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of each row of docs.
+
+    component_id is the smallest doc_id that links of tau bits or fewer reach; rows with a null doc_id take part and
+    give no id, so a component of them alone has null. Exact copies and equal fingerprints collapse before any join.
+    Repeated rows come back as often as they stand in docs.
+    """
+    out = components(docs, tau, words, seed)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, tau: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
+    """One row of docs for each component.
+
+    It is the row of the smallest doc_id, where null comes after all others. Of rows that share this doc_id the least hash
+    of the text and then of all columns decides; of rows equal in all columns one stays. A row is known by two 64-bit
+    hashes of its columns, so rows that share a doc_id with that of another component are not mistaken for it.
+    """
+    spark = docs.sparkSession
+    cells = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+    keyed = docs.withColumns({"_th": F.xxhash64("text"), "_h1": F.xxhash64(F.lit(1), *cells), "_h2": F.xxhash64(F.lit(2), *cells)})
+    rows = components(keyed, tau, words, seed, ("_th", "_h1", "_h2")).groupBy("root", "doc_id", "_th", "_h1", "_h2").agg(F.count("*").alias("_n"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th", "_h1", "_h2", "_n")).alias("k"))
+    chosen = written(least.select(F.col("k._h1").alias("_k1"), F.col("k._h2").alias("_k2"), F.col("k._n").alias("_n")), "simhash-chosen")
+
+    def picked(keys: DataFrame) -> DataFrame:
+        return keyed.join(keys, (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")), "left_semi")
+
+    out = picked(chosen.filter("_n = 1"))
+    again = chosen.filter("_n > 1")
+    if not again.isEmpty():
+        out = out.unionByName(picked(again).dropDuplicates(["_h1", "_h2"]))
+    return out.select(*docs.columns)
