@@ -111,6 +111,15 @@ def _batches(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> p
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
 
+def _variants(ids: list[int], texts: list[bytes]) -> np.ndarray:
+    """Of each row of a shard the rank of its text among the texts of its doc_id, 0 where there is one. A shard has all rows of a doc_id."""
+    of: dict[int, set[bytes]] = {}
+    for i, t in zip(ids, texts, strict=True):
+        of.setdefault(i, set()).add(t)
+    rank = {i: {t: k for k, t in enumerate(sorted(ts))} for i, ts in of.items() if len(ts) > 1}
+    return np.array([rank[i][t] if i in rank else 0 for i, t in zip(ids, texts, strict=True)], "<i4")
+
+
 def _bounds(keys: np.ndarray) -> Iterator[tuple[int, int]]:
     if not len(keys):
         return iter(())
@@ -193,11 +202,11 @@ def contexts(docs: DataFrame, keys: DataFrame, length: int, bits: int, splitters
 
     Range r >= 0: rows, a matrix of [suffix][bytes before it, reversed][bytes used behind, before], and of each the
     smallest document that has it in the shard, with each place of the suffix in that document. Range -1: documents of the shard and the first and last windows that
-    an equal row of a smaller document covers.
+    an equal row of a smaller document covers. variants tell the texts of one doc_id apart.
     """
     left = length - LEAD
     width = length + left + 2
-    out = pa.schema([("range", pa.int32()), ("shard", pa.int32()), ("rows", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
+    out = pa.schema([("range", pa.int32()), ("shard", pa.int32()), ("rows", pa.binary()), ("docs", pa.binary()), ("variants", pa.binary()), ("places", pa.binary())])
 
     def run(key: tuple, t: pa.Table, reply: pa.Table) -> pa.Table:
         import zstandard
@@ -207,8 +216,10 @@ def contexts(docs: DataFrame, keys: DataFrame, length: int, bits: int, splitters
         shard = t.column("shard")[0].as_py()
         known = np.unique(np.concatenate([_unpack_keys(x) for x in reply.column("keys").to_pylist()]))
         ids = t.column("doc_id").to_numpy()
-        mats, docs_, places, hashes = [], [], [], []
-        for text, doc, start, ends in _chunks([x or b"" for x in t.column("text").cast(pa.binary()).to_pylist()], length):
+        texts = byte_texts(t.column("text"))
+        kinds = _variants(ids.tolist(), texts)
+        mats, docs_, variants, places, hashes = [], [], [], [], []
+        for text, doc, start, ends in _chunks(texts, length):
             first, last, place, h = windows(text, ends, length)
             k = h >> np.uint64(64 - bits)
             at = np.minimum(np.searchsorted(known, k), len(known) - 1)
@@ -227,35 +238,36 @@ def contexts(docs: DataFrame, keys: DataFrame, length: int, bits: int, splitters
             m[:, -2], m[:, -1] = behind, before
             mats.append(m)
             docs_.append(ids[doc[part]])
+            variants.append(kinds[doc[part]])
             places.append(place - np.concatenate([[0], ends[:-1]])[part] + start[part])
             hashes.append(h)
         if not mats or not sum(map(len, mats)):
             return out.empty_table()
-        m, doc, place, h = np.concatenate(mats), np.concatenate(docs_), np.concatenate(places), np.concatenate(hashes)
+        m, doc, variant, place, h = np.concatenate(mats), np.concatenate(docs_), np.concatenate(variants), np.concatenate(places), np.concatenate(hashes)
         del mats
         row = _as_rows(m)
         order = np.argsort(row, kind="stable")
         order = order[np.lexsort((place[order], doc[order], _runs(row[order])))]
-        row, doc, place, h, m = row[order], doc[order], place[order], h[order], m[order]
+        row, doc, variant, place, h, m = row[order], doc[order], variant[order], place[order], h[order], m[order]
         new = np.concatenate([[True], row[1:] != row[:-1]])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = doc > doc[head]
         before, behind = m[:, -1].astype(np.int64), m[:, -2].astype(np.int64)
         rows = []
         if later.any():
-            rows.append((-1, shard, b"", doc[later].astype("<i8").tobytes(), np.stack([place - before, place + behind - length], 1)[later].astype("<i8").tobytes()))
+            rows.append((-1, shard, b"", doc[later].astype("<i8").tobytes(), variant[later].tobytes(), np.stack([place - before, place + behind - length], 1)[later].astype("<i8").tobytes()))
         own = np.flatnonzero(~later)  # a document may hold its own row again elsewhere
-        m, doc, place, h = m[own], doc[own], place[own], h[own]
+        m, doc, variant, place, h = m[own], doc[own], variant[own], place[own], h[own]
         lead16 = np.ascontiguousarray(m[:, :16]).view("S16").ravel()
         lo, hi = np.searchsorted(splitters, lead16, "left"), np.searchsorted(splitters, lead16, "right")
         spot = lo + (h % (hi - lo + 1).astype(np.uint64)).astype(np.int64)
         order = np.argsort(spot, kind="stable")
-        spot, m, doc, place = spot[order], m[order], doc[order], place[order]
+        spot, m, doc, variant, place = spot[order], m[order], doc[order], variant[order], place[order]
         for a, b in _bounds(spot):
-            rows.append((int(spot[a]), shard, zstandard.compress(m[a:b].tobytes(), 1), doc[a:b].astype("<i8").tobytes(), place[a:b].astype("<i8").tobytes()))
+            rows.append((int(spot[a]), shard, zstandard.compress(m[a:b].tobytes(), 1), doc[a:b].astype("<i8").tobytes(), variant[a:b].tobytes(), place[a:b].astype("<i8").tobytes()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    return docs.select("shard", "doc_id", "text").groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(run, "range int, shard int, rows binary, docs binary, places binary")
+    return docs.select("shard", "doc_id", "text").groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(run, "range int, shard int, rows binary, docs binary, variants binary, places binary")
 
 
 def _runs(sorted_rows: np.ndarray) -> np.ndarray:
@@ -263,7 +275,7 @@ def _runs(sorted_rows: np.ndarray) -> np.ndarray:
 
 
 def compared(found: DataFrame, length: int) -> DataFrame:
-    """(shard, docs, places): windows of each range's rows that a smaller document has too, as first and last window start.
+    """(shard, docs, variants, places): windows of each range's rows that a smaller document has too, as first and last window start.
 
     A range sorts its rows by suffix and then by what stands before it. Rows of one lead are neighbours; within them each window
     of a row is ranked with its equals, and those of documents beyond the smallest are reported.
@@ -277,13 +289,14 @@ def compared(found: DataFrame, length: int) -> DataFrame:
         m = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint8).reshape(-1, width) for x in t.column("rows").to_pylist()])
         n = [len(x) // 8 for x in t.column("docs").to_pylist()]
         doc = np.frombuffer(b"".join(t.column("docs").to_pylist()), "<i8")
+        variant = np.frombuffer(b"".join(t.column("variants").to_pylist()), "<i4")
         place = np.frombuffer(b"".join(t.column("places").to_pylist()), "<i8")
         shard = np.repeat(t.column("shard").to_numpy(), n)
         row = _as_rows(m)
         order = np.argsort(row, kind="stable")
         kind = _runs(row[order])
         order = order[np.lexsort((doc[order], kind))]
-        m, doc, place, shard = m[order], doc[order], place[order], shard[order]
+        m, doc, variant, place, shard = m[order], doc[order], variant[order], place[order], shard[order]
         first = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
         least = doc[first][kind]
         before, behind = m[:, -1].astype(np.int64), m[:, -2].astype(np.int64)
@@ -311,10 +324,10 @@ def compared(found: DataFrame, length: int) -> DataFrame:
         order = np.argsort(shard[at], kind="stable")
         at, lo, hi = at[order], lo[order], hi[order]
         s = shard[at]
-        rows = [(int(s[a]), doc[at[a:b]].astype("<i8").tobytes(), np.stack([lo[a:b], hi[a:b]], 1).astype("<i8").tobytes()) for a, b in _bounds(s)]
-        return pa.Table.from_batches([_batches(rows, [pa.int32(), pa.binary(), pa.binary()], ["shard", "docs", "places"])])
+        rows = [(int(s[a]), doc[at[a:b]].astype("<i8").tobytes(), variant[at[a:b]].tobytes(), np.stack([lo[a:b], hi[a:b]], 1).astype("<i8").tobytes()) for a, b in _bounds(s)]
+        return pa.Table.from_batches([_batches(rows, [pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["shard", "docs", "variants", "places"])])
 
-    return found.filter("range >= 0").groupBy("range").applyInArrow(run, "shard int, docs binary, places binary")
+    return found.filter("range >= 0").groupBy("range").applyInArrow(run, "shard int, docs binary, variants binary, places binary")
 
 
 def _window_ranks(m: np.ndarray, doc: np.ndarray, lead: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -350,7 +363,7 @@ def removal(docs: DataFrame, length: int = 50) -> DataFrame:
 
     Each byte goes that a string of `length` bytes covers which also starts in a document of smaller doc_id. Texts are
     UTF-8 bytes and judged as they came; null is empty, a null doc_id is smaller than all others, and rows of one doc_id don't
-    remove each other's bytes. Steps: every window of `length` bytes names one suffix by its least lead; hashes of the leads meet by hash
+    remove each other's bytes; those that differ in text are each judged by their own. Steps: every window of `length` bytes names one suffix by its least lead; hashes of the leads meet by hash
     range, and those in one document alone are done with; the others go, with the bytes of their windows, to ranges between
     splitters sampled from the leads, where they are sorted and compared. A shard sends equal rows once, so a passage that a third
     of the documents hold costs a range one row for each shard, and ranges of equal splitters share a frequent lead by its hash.
@@ -377,19 +390,22 @@ def removal(docs: DataFrame, length: int = 50) -> DataFrame:
     remove(spark, leads_at)
     rest, rest_at = kept_at(contexts(rows, keys, length, bits, splitters), "suffix-contexts")
     remove(spark, keys_at)
-    spans = compared(rest, length).unionByName(rest.filter("range = -1").select("shard", "docs", "places"))
+    spans = compared(rest, length).unionByName(rest.filter("range = -1").select("shard", "docs", "variants", "places"))
     spans = written(spans, "suffix-spans")
     remove(spark, rest_at)
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def apply(t: pa.Table, s: pa.Table) -> pa.Table:
         doc = np.frombuffer(b"".join(s.column("docs").to_pylist()), "<i8")
+        variant = np.frombuffer(b"".join(s.column("variants").to_pylist()), "<i4")
         span = np.frombuffer(b"".join(s.column("places").to_pylist()), "<i8").reshape(-1, 2)
-        order = np.lexsort((span[:, 0], doc))
-        doc, span = doc[order], span[order]
+        order = np.lexsort((span[:, 0], variant, doc))
+        doc, variant, span = doc[order], variant[order], span[order]
         rows = []
-        for i, text in zip(t.column("doc_id").to_pylist(), [x or b"" for x in t.column("text").cast(pa.binary()).to_pylist()], strict=True):
+        ids, texts = t.column("doc_id").to_pylist(), byte_texts(t.column("text"))
+        for i, kind, text in zip(ids, _variants(ids, texts), texts, strict=True):
             a, b = np.searchsorted(doc, i, "left"), np.searchsorted(doc, i, "right")
+            a, b = a + np.searchsorted(variant[a:b], kind, "left"), a + np.searchsorted(variant[a:b], kind, "right")
             kept, removed, runs = text, 0, 0
             if b > a:
                 lo, hi = span[a:b, 0], np.maximum.accumulate(span[a:b, 1] + length)

@@ -281,6 +281,17 @@ def test_suffixes(spark, odd, none, documents, monkeypatch):
     assert suffixes.removal(none).count() == 0
 
 
+def test_suffixes_of_shared_ids(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    some = ["".join(rng.choice(list("abc"), 120)) for _ in range(8)]
+    docs = [(1, some[0] + some[1]), (5, "x" * 90 + some[0]), (5, some[2] + some[0] + "y" * 30), (5, some[2] + some[0] + "y" * 30), (5, some[3]), (5, None), (6, some[3] + some[2])]
+    docs += [(None, some[4]), (None, some[4] + some[5]), (7, some[5] + some[4]), (7, some[6]), (7, some[7] + some[4] + some[6]), (8, some[7] + some[6])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    same([tuple(r) for r in suffixes.removal(df).collect()], removal(docs))
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 300)
+    same([tuple(r) for r in suffixes.removal(df).collect()], removal(docs))
+
+
 def test_windows_of_cut_documents(monkeypatch):
     monkeypatch.setattr(suffixes, "CHUNK_BYTES", 100)
     rng = np.random.default_rng(6)
