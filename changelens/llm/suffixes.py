@@ -343,13 +343,7 @@ def _window_ranks(m: np.ndarray, doc: np.ndarray, lead: np.ndarray, length: int)
     body = np.zeros((len(r), 56), np.uint8)
     body[:, :length] = view[r, at]
     words = body.view(">u8").astype(np.uint64)
-    # Multikey: lead first, then eight bytes at a time among ties only.
-    rank = lead[r].astype(np.int64) * (left + 1) + at
-    for w in range(words.shape[1]):
-        order = np.lexsort((words[:, w], rank))
-        diff = np.concatenate([[0], (rank[order][1:] != rank[order][:-1]) | (words[order, w][1:] != words[order, w][:-1])])
-        rank = np.empty(len(r), np.int64)
-        rank[order] = np.cumsum(diff)
+    rank = _ties(lead[r].astype(np.int64) * (left + 1) + at, words)
     order = np.lexsort((doc[r], rank))
     rank, r, at = rank[order], r[order], at[order]
     head = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
@@ -358,6 +352,22 @@ def _window_ranks(m: np.ndarray, doc: np.ndarray, lead: np.ndarray, length: int)
     return r[late], at[late] - left
 
 
+def _ties(rank: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Ranks that rows share where they share rank and all words. Multikey: a word at a time among the rows still tied."""
+    rank, tied = rank.copy(), np.arange(len(rank))
+    top = int(rank.max(initial=0)) + 1
+    for w in range(words.shape[1]):
+        if not len(tied):
+            break
+        order = tied[np.lexsort((words[tied, w], rank[tied]))]
+        k, x = rank[order], words[order, w]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (x[1:] != x[:-1])])
+        rank[order] = top + np.cumsum(new)
+        top += int(new.sum()) + 1
+        tied = order[~(new & np.concatenate([new[1:], [True]]))]
+    return rank
+
+
 def removal(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs.
 

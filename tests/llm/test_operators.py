@@ -292,6 +292,25 @@ def test_suffixes_of_shared_ids(spark, monkeypatch):
     same([tuple(r) for r in suffixes.removal(df).collect()], removal(docs))
 
 
+def test_ties_of_words():
+    class Counted(np.ndarray):
+        read = 0
+
+        def __getitem__(self, key):
+            Counted.read += len(key[0])
+            return np.asarray(super().__getitem__(key))
+
+    rng = np.random.default_rng(15)
+    words = rng.integers(0, 3, (3000, 7)).astype(np.uint64)
+    words[:1000, 0] = np.arange(1000) + 10
+    rank = rng.integers(0, 4, 3000)
+    got = suffixes._ties(rank, words.view(Counted))
+    keys = [(int(k), *w.tolist()) for k, w in zip(rank, words, strict=True)]
+    assert len(set(zip(keys, got.tolist(), strict=True))) == len(set(keys)) == len(set(got.tolist()))
+    assert Counted.read < 2 * 7 * 3000 - 2 * 6 * 1000 + 1  # rows that the first word settles are not read again
+    assert len(suffixes._ties(rank[:0], words[:0])) == 0
+
+
 def test_windows_of_cut_documents(monkeypatch):
     monkeypatch.setattr(suffixes, "CHUNK_BYTES", 100)
     rng = np.random.default_rng(6)
