@@ -1,12 +1,13 @@
 """The stages of the pipeline against brute force on small tables with repeated, null and clashing rows."""
 
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from test_operators import components, slow_fingerprint
+from test_operators import base_counts, check_packing, components, op3_words, passages, slow_fingerprint
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -53,3 +54,85 @@ def test_near_dedup(spark, parts):
     docs = spark.createDataFrame(rows, SCHEMA).repartition(parts)
     check_near_dedup([tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()], rows)
     assert corpus_pipeline.near_dedup(spark, docs.filter("false"), "").count() == 0
+
+
+def kept_by_rules(rows):
+    """The base rules, and the one rule that the labels of the fixture teach: texts with # are bad."""
+    return [r for r in rows if not base_counts(r[1])[-1] and "#" not in r[1]]
+
+
+def without_lines(rows, least=10):
+    key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\f\r"))
+    seen = defaultdict(set)
+    for r in rows:
+        for x in (r[1] or "").split("\n"):
+            seen[key(x)].add(r[0])
+    texts = ["\n".join(x for x in (r[1] or "").split("\n") if not key(x) or len(seen[key(x)]) < least) for r in rows]
+    return [(r[0], t, *r[2:4], len(t)) for r, t in zip(rows, texts, strict=True)]
+
+
+def one_of_each(rows):
+    return [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups(rows)]
+
+
+def without_passages(rows, items, window=13):
+    wins = {tuple(w[s : s + window]) for w in (op3_words(t) for _, t in items) for s in range(len(w) - window + 1)}
+    out = []
+    for r, p in zip(rows, passages([x[:2] for x in rows], items), strict=True):
+        text, w = r[1], op3_words(r[1])
+        hit = {j for s in range(len(w) - window + 1) if tuple(w[s : s + window]) in wins for j in range(s, s + window)}
+        at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text or "")]
+        cut = set()
+        for j in hit:
+            cut |= set(range(at[j][0], at[j + 1][0] if j + 1 in hit else at[j][1]))
+        kept = text and "".join(c for i, c in enumerate(text) if i not in cut)
+        if not p[-1]:
+            out.append((r[0], kept, *r[2:4], None if kept is None else len(kept)))
+    return out
+
+
+def corpus():
+    """(documents, labels, benchmark): every stage has something to drop, and rows repeat, clash and lack ids."""
+    rng = np.random.default_rng(21)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    good, bad = [words(80) for _ in range(60)], [words(80) for _ in range(45)]
+    for t in bad:
+        t[5:65:3] = ["#" + w[1:] for w in t[5:65:3]]  # of the features only symbols differ
+    texts = [(i, " ".join(t)) for i, t in enumerate(good)] + [(100 + i, " ".join(t)) for i, t in enumerate(bad)]
+    texts += [(200 + i, " ".join(words(70)) + "\nThis site uses cookies \nlast line") for i in range(12)]
+    texts += [texts[110], texts[110], (None, texts[3][1]), (300, texts[3][1]), (None, " ".join(words(90))), (3, " ".join(words(85))), (301, "too short"), (302, None)]
+    texts += [(None, texts[-4][1])] * 2
+    long = words(900)
+    texts += [(310, " ".join(long)), (311, " ".join([*long[:-1], "other"])), (312, " ".join([*long[:400], "new", *long[401:]]))]
+    quote = " ".join(long[100:130])
+    labels = [(i, 1, 0) for i in range(60)] + [(100 + i, 0, 0) for i in range(40)]
+    return [(i, t, "en", "s", len(t or "")) for i, t in texts], labels, [("a", quote), ("b", " ".join(good[9][10:40])), ("c", None)]
+
+
+def test_quality_stage_and_run(spark, tmp_path):
+    rows, labels, items = corpus()
+    for name, data, schema in (("documents", rows, SCHEMA), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id string, text string")):
+        spark.createDataFrame(data, schema).repartition(2).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    ruled = kept_by_rules(rows)
+    assert Counter(tuple(r) for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()) == Counter(ruled)
+    lined = without_lines(ruled)
+    alone = one_of_each(lined)
+    clean = without_passages(alone, items)
+    assert len(rows) > len(ruled) > len(alone) > len(clean) and sum(r[4] for r in lined) < sum(r[4] for r in ruled)
+    check_packing(corpus_pipeline.run(spark, str(tmp_path)).collect(), [r[:2] for r in clean])
+
+
+def test_line_and_decontamination_stages(spark, odd, tmp_path):
+    rows, _, items = corpus()
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    few = [tuple(r) for r in odd.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    for data in (rows, few, near_rows()):
+        docs = spark.createDataFrame(data, SCHEMA)
+        assert Counter(tuple(r) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()) == Counter(without_lines(data))
+        assert Counter(tuple(r) for r in corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()) == Counter(without_passages(data, items))
+
+
+def test_packed_stage(spark):
+    rows = near_rows()
+    check_packing(corpus_pipeline.packed(spark, spark.createDataFrame(rows, SCHEMA), "").collect(), [r[:2] for r in rows])
