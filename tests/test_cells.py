@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from changelens.functions import cells as C
 from changelens.functions import metadata as M
 from changelens.operators import cells as O
-from changelens.operators.graph import connected_components
+from changelens.operators.graph import connected_components, join_spread
 from changelens.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -98,3 +98,20 @@ def test_query_equals_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns
+
+
+def test_components_round_limit_and_hub(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        connected_components(chain, most_rounds=1)
+    hub = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(1000, 1001), (1001, 1002)], "a long, b long").repartition(3)
+    got = {r["node"]: r["component"] for r in connected_components(hub).collect()}
+    assert got == {i: 0 for i in range(400)} | {i: 1000 for i in range(1000, 1003)}
+    assert connected_components(chain.filter("false")).count() == 0
+
+
+def test_join_spread(spark):
+    left = spark.createDataFrame([(1, i) for i in range(300)] + [(2, 0), (3, 1), (None, 2)], "k long, x long")
+    right = spark.createDataFrame([(1, 300, "hot"), (2, 1, "cold"), (9, 1, "none")], "k long, n long, v string")
+    got = sorted((r["k"] or 0, r["x"], r["v"] or "") for r in join_spread(left, right, "k", "n", 303, [F.col("x")]).collect())
+    assert got == sorted([(1, i, "hot") for i in range(300)] + [(2, 0, "cold"), (3, 1, ""), (0, 2, "")])
