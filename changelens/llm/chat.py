@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import partitions
 from .common import written
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -24,25 +25,30 @@ def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     mask_spans lists `start:end` in code points of rendered, end exclusive, of what the assistant says with its closing
     mark; only that bears loss. Turns are ordered by turn, role and text; a null turn comes first, null roles and texts are
     empty, repeated rows are repeated turns, and rows with a null conv_id are one conversation. Marks of the template within
-    texts are broken up. A part has at most part_turns turns. Ranks come from one range partitioning and the counts by conversation and
-    partition, so a conversation of any length spreads over partitions and no row or task holds all of it.
+    texts are broken up. part_turns is how many turns a row renders at most: a conversation goes on in the next part, and its parts
+    one after another are the whole rendering. Ranks come from one range partitioning and the counts by conversation and
+    partition, one row each. Turns meet speakers by conversation and part, for which the speakers, without texts, are dealt out
+    first; so a conversation of any length spreads over partitions and no row or task holds all its texts. Other columns are ignored, and an
+    empty table gives an empty table.
     """
-    parts = max(int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = partitions(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), _plain(F.col("role")).alias("role"), _plain(F.col("text")).alias("text"))
     keys = ["conv_id", "turn", "role", "text"]
     ranged = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     ranged = written(ranged.select("conv_id", "role", "text", F.monotonically_increasing_id().alias("_at"), F.spark_partition_id().alias("_p")), "chat-ranged")
     runs = ranged.groupBy("conv_id", "_p").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    after = runs.alias("x").join(runs.alias("y"), F.col("x.conv_id").eqNullSafe(F.col("y.conv_id")) & (F.col("y._p") < F.col("x._p")), "left")
-    before = after.groupBy("x.conv_id", "x._p", "x._first").agg(F.coalesce(F.sum("y._n"), F.lit(0)).alias("_before"))
-    before = before.select(F.col("conv_id").alias("_c"), F.col("_p").alias("_bp"), "_first", "_before")
+    earlier = Window.partitionBy("conv_id").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = runs.select(F.col("conv_id").alias("_c"), F.col("_p").alias("_bp"), "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     ranked = ranged.join(before, ranged["conv_id"].eqNullSafe(before["_c"]) & (ranged["_p"] == before["_bp"]))
     ranked = ranked.select("conv_id", "role", "text", (F.col("_at") - F.col("_first") + F.col("_before")).alias("k"))
-    speakers = rows.groupBy("conv_id", "role").agg(F.lit(1)).select(F.col("conv_id").alias("_s"), F.col("role").alias("speaker"))
-    seen = ranked.join(speakers, ranked["conv_id"].eqNullSafe(speakers["_s"]))
+    ranked = ranked.withColumn("part", F.expr(f"k div {part_turns}"))
+    last = runs.groupBy("conv_id").agg(F.expr(f"(sum(_n) - 1) div {part_turns}").alias("_last")).select(F.col("conv_id").alias("_t"), "_last")
+    speakers = ranged.groupBy("conv_id", "role").agg(F.lit(1)).select(F.col("conv_id").alias("_s"), F.col("role").alias("speaker"))
+    wanted = speakers.join(last, F.col("_s").eqNullSafe(F.col("_t"))).select("_s", "speaker", F.explode(F.sequence(F.lit(0).cast("long"), "_last")).alias("_part"))
+    seen = ranked.join(wanted, F.col("conv_id").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_part")))
     own = F.col("role") == F.col("speaker")
     head = F.when(own, F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), F.col("role"), F.lit("\n")))
-    seen = seen.select("conv_id", "speaker", F.expr(f"k div {part_turns}").alias("part"), F.struct("k", own.alias("own"), head.alias("head"), F.col("text").alias("text")).alias("s"))
+    seen = seen.select("conv_id", "speaker", "part", F.struct("k", own.alias("own"), head.alias("head"), F.col("text").alias("text")).alias("s"))
     grouped = seen.groupBy("conv_id", "speaker", "part").agg(F.sort_array(F.collect_list("s")).alias("s"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
 

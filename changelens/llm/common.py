@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
+import threading
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut_at, shared_path
+
 #: The six ASCII white-space characters of the contracts.
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,36 +24,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and only where that is unset one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{os.path.join(tempfile.gettempdir(), 'changelens-shared')}"
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that driver and executors share."""
+    return shared_path(spark, name)
 
 
-#: Spark setting by which an execution's shuffle files go when it ends.
+#: Spark setting by which an execution's shuffle files go when it ends; how many writes hold it on, and what it was before them.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleanup, _writers, _before = threading.Lock(), 0, None
+
+
+@contextmanager
+def _shuffle_files_go(spark: SparkSession):
+    """Holds the setting on while any thread writes, and puts it back with the last."""
+    global _writers, _before
+    with _cleanup:
+        if not _writers:
+            _before = spark.conf.get(SHUFFLE_CLEANUP, None)
+            spark.conf.set(SHUFFLE_CLEANUP, "true")
+        _writers += 1
+    try:
+        yield
+    finally:
+        with _cleanup:
+            _writers -= 1
+            if not _writers:
+                spark.conf.unset(SHUFFLE_CLEANUP) if _before is None else spark.conf.set(SHUFFLE_CLEANUP, _before)
 
 
 def kept_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As written(), with the path, for a table that remove() takes away once what follows has been written."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path), path
+    with _shuffle_files_go(spark):
+        return cut_at(df, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -60,9 +64,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return kept_at(df, name)[0]
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def boxed(df: DataFrame, *more: Column) -> DataFrame:
+    """All columns of df as one struct `row`, and `more` beside it: no column of the caller's can clash with a working one."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *more)
+
+
+def unboxed(df: DataFrame, columns: list[str], **added: Column) -> DataFrame:
+    """The columns of `row`, but those whose names, in whatever case, added takes, and then added."""
+    taken = {a.lower() for a in added}
+    return df.select(*[F.col(f"row.`{c}`").alias(c) for c in columns if c.lower() not in taken], *[v.alias(k) for k, v in added.items()])
 
 
 def give_back() -> None:
@@ -88,9 +98,16 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
-    """Cut a record batch into runs of rows whose text stays under most_bytes; a longer text stands alone."""
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+def store(path: str):
+    """(file system, path on it) of a path in the shared folder, for Python on the driver or an executor."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def slices(batch: pa.RecordBatch, column: str | pa.Array, most_bytes: int):
+    """Cut a record batch into runs of rows whose text, in the column named or given, stays under most_bytes; a longer text stands alone."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column) if isinstance(column, str) else column), 0).to_pylist()
     start = size = 0
     for i, n in enumerate(lengths):
         if i > start and size + n > most_bytes:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -13,14 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_texts, give_back, slices, written
+from .common import boxed, byte_texts, fresh_path, give_back, slices, store, unboxed
 
 #: Words of the contract after lower-casing A-Z: every other ASCII byte becomes a space, bytes from 0x80 stay.
 WORD_TABLE = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-#: Text that one shard's index holds, and benchmark text that is searched at once; a larger benchmark goes in blocks.
+#: Text that one shard's index holds, and benchmark text that is searched at once; a larger benchmark goes in blocks. A block
+#: takes about 13 words of four bytes for each of its words, three times over while it is built.
 SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 SAMPLE_EVERY = 8
 
 
@@ -104,34 +106,43 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of a block of benchmark items, over the vocabulary of the block."""
+    """The windows of a block of benchmark items, over the vocabulary of the block: one row of word numbers each, zeros behind short ones."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        self.items, parts, owners = [], [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)]
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in text.translate(WORD_TABLE).split()]
-            for s in range(max(0, len(ids) - window) + 1 if ids else 0):
-                found.setdefault(tuple(ids[s : s + window]), set()).add(item)
-        self.items = [sorted(x) for x in found.values()]
-        self.lengths = np.array([len(x) for x in found], np.int64)
-        self.least = int(self.lengths.min()) if found else 0
-        self.patterns = np.zeros((len(found), max(self.lengths, default=0)), np.int64)
-        for r, x in enumerate(found):
-            self.patterns[r, : len(x)] = x
-
-    def hits(self, texts: list[bytes]) -> list[tuple[int, np.ndarray, set[str]]]:
-        """(words, merged [start, end) word spans, items) of each text of a shard, by one FM-index over the shard.
+            words = text.translate(WORD_TABLE).split()
+            if not words:
+                continue
+            ids = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words), np.int32, len(words))
+            part = np.lib.stride_tricks.sliding_window_view(ids, window) if len(ids) >= window else np.pad(ids, (0, window - len(ids)))[None]
+            parts.append(part)
+            owners.append(np.full(len(part), len(self.items), np.int32))
+            self.items.append(item)
+        rows, owner = np.ascontiguousarray(np.concatenate(parts)), np.concatenate(owners)
+        key = rows.view(f"V{4 * window}").ravel()
+        order = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.patterns = rows[order[new]]
+        self.lengths = (self.patterns != 0).sum(1)
+        self.least = int(self.lengths.min(initial=window))
+        self.owner, self.bounds = owner[order], np.concatenate([new, [len(key)]])  # items of pattern p: owner[bounds[p] : bounds[p + 1]]
+
+    def named(self, patterns: np.ndarray) -> set[str]:
+        """The items that have any of the patterns."""
+        return {self.items[i] for p in np.unique(patterns) for i in self.owner[self.bounds[p] : self.bounds[p + 1]]}
+
+    def hits(self, words: list[list[bytes]]) -> list[tuple[np.ndarray, set[str]]]:
+        """(merged [start, end) word spans, items) of each document of a shard, by one FM-index over the shard.
 
         The index keeps the words of the vocabulary; all others cut runs, and runs shorter than the shortest window,
         which hold none, are left out.
         """
-        words = [t.translate(WORD_TABLE).split() for t in texts]
-        counts = np.array([len(w) for w in words], np.int64)
-        starts = np.concatenate([[0], np.cumsum(counts)])
-        none = (np.zeros((0, 2), np.int64), set())
+        starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        out: list[tuple[np.ndarray, set[str]]] = [(np.zeros((0, 2), np.int64), set())] * len(words)
         if not len(self.patterns) or not starts[-1]:
-            return [(int(n), *none) for n in counts]
+            return out
         ids = np.zeros(starts[-1] + len(words), np.int32)  # a zero behind each document
         get, at = self.vocabulary.get, 0
         for w in words:
@@ -143,7 +154,7 @@ class Phrases:
         begin, size = begin[long], (end - begin)[long] + 1  # with the zero behind
         place = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(begin) else np.zeros(0, np.int64)
         if not len(place):
-            return [(int(n), *none) for n in counts]
+            return out
         index = FMIndex(ids[np.minimum(place, len(ids) - 1)], len(self.vocabulary))
         low, high = index.search(self.patterns, self.lengths)
         many = high - low
@@ -154,13 +165,12 @@ class Phrases:
         doc = np.searchsorted(shifted, where, "right") - 1
         order = np.lexsort((where, doc))
         doc, where, pattern = doc[order], where[order] - shifted[doc[order]], pattern[order]
-        out = [(int(n), *none) for n in counts]
         for d, s, e in zip(*_groups(doc), strict=True):
             a, b = where[s:e], where[s:e] + self.lengths[pattern[s:e]]
             top = np.maximum.accumulate(b)
             new = np.concatenate([[True], a[1:] > top[:-1]])
             last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(a) - 1]])
-            out[d] = (int(counts[d]), np.stack([a[new], top[last]], 1), {i for p in set(pattern[s:e].tolist()) for i in self.items[p]})
+            out[d] = (np.stack([a[new], top[last]], 1), self.named(pattern[s:e]))
         return out
 
 
@@ -189,53 +199,75 @@ def _blocks(benchmark: DataFrame, most_bytes: int) -> Iterator[list[tuple[str, b
         yield [(r["i"], r["text"].encode()) for r in part.toLocalIterator()]
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words, hit_spans (merged word spans of benchmark windows) and hit_items added.
-
-    Null texts have no words; null items and null item ids count as none; items of equal text each count. Rows keep
-    their other columns, and repeated rows each get the same result. A benchmark of over block_bytes is searched block
-    by block against all rows.
-    """
-    out = docs.drop("n_words", "hit_spans", "hit_items")
+def _stored(benchmark: DataFrame, window: int, block_bytes: int) -> list[str]:
+    """Paths of the benchmark's blocks, each as its Phrases, in the shared folder. The driver holds one block at a time."""
+    folder = fresh_path(benchmark.sparkSession, "decontaminate")
+    paths = []
+    for items in _blocks(benchmark, block_bytes):
+        disk, name = store(folder)
+        disk.create_dir(name, recursive=True)
+        paths.append(f"{folder}/block-{len(paths)}")
+        with disk.open_output_stream(f"{name}/block-{len(paths) - 1}") as out:
+            out.write(pickle.dumps(Phrases(items, window), 5))
+    return paths
+
+
+@lru_cache(maxsize=1)
+def _phrases(path: str) -> Phrases:
+    """A block, read once by a worker where it is the only one."""
+    disk, name = store(path)
+    with disk.open_input_stream(name) as file:
+        return pickle.loads(file.read())
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int, block_bytes: int) -> DataFrame:
+    """(row, n_words, hit_spans, hit_items), row being docs' columns: one pass over docs, whatever the number of blocks."""
+    paths = _stored(benchmark, window, block_bytes)
+    boxes = boxed(docs)
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     added = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", spans), T.StructField("hit_items", T.ArrayType(T.StringType()))]
-    schema = T.StructType([*out.schema.fields, *added])
-    first = True
-    for items in _blocks(benchmark, block_bytes):
-        phrases = Phrases(items, window)
-        if not first:
-            out = written(out, "decontaminate")
-
-        def run(batches: Iterator[pa.RecordBatch], phrases=phrases, first=first) -> Iterator[pa.RecordBatch]:
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            for batch in batches:
-                for part in slices(batch, "text", shard_bytes):
-                    found = phrases.hits(byte_texts(part.column("text")))
-                    spans = [[(int(a), int(b)) for a, b in x[1]] for x in found]
-                    names = [x[2] for x in found]
-                    if not first:
-                        spans = [_merged(a + [(s["start"], s["end"]) for s in b]) for a, b in zip(spans, part.column("hit_spans").to_pylist(), strict=True)]
-                        names = [a | set(b) for a, b in zip(names, part.column("hit_items").to_pylist(), strict=True)]
-                    own = [c for c in part.schema.names if c not in ("n_words", "hit_spans", "hit_items")]
-                    spans = [[{"start": a, "end": b} for a, b in x] for x in spans]
-                    cols = [pa.array([x[0] for x in found], pa.int64()), pa.array(spans, span), pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *cols], [*own, "n_words", "hit_spans", "hit_items"])
-                    del found, spans, names, cols
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
+        for batch in batches:
+            for part in slices(batch, batch.column(0).field("text"), shard_bytes):
+                words = [t.translate(WORD_TABLE).split() for t in byte_texts(part.column(0).field("text"))]
+                spans: list[list[tuple[int, int]]] = [[] for _ in words]
+                names: list[set[str]] = [set() for _ in words]
+                for path in paths:
+                    for d, (found, items) in enumerate(_phrases(path).hits(words)):
+                        if items:
+                            spans[d] = _merged(spans[d] + [(int(a), int(b)) for a, b in found])
+                            names[d] |= items
+                cols = [list(map(len, words)), [[{"start": a, "end": b} for a, b in x] for x in spans], [sorted(x) for x in names]]
+                del words, spans, names
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["row", "n_words", "hit_spans", "hit_items"])
             give_back()
 
-        out, first = out.mapInArrow(run, schema), False
-    return out
+    return boxes.mapInArrow(run, T.StructType([*boxes.schema.fields, *added]))
 
 
-def judged(found: DataFrame, share: int = 20) -> DataFrame:
-    """find_passages with n_hit, n_items and contaminated: hit, and a 20th of the words or more."""
+def _judged(found: DataFrame, share: int = 20) -> DataFrame:
+    """_searched with n_hit, n_items and contaminated: hit, and a 20th of the words or more."""
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     out = found.withColumns({"n_hit": n_hit, "n_items": F.size("hit_items").cast("long")})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
+def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, share: int = 20) -> DataFrame:
+    """docs with n_words, hit_spans (merged word spans of benchmark windows), hit_items, n_hit, n_items and contaminated added.
+
+    Null texts have no words; null items and null item ids count as none; items of equal text each count. Repeated rows each
+    get the same result, long texts are searched whole, and an empty table gives an empty table. Other columns pass through, whatever their names;
+    those of the names of the results are replaced. A benchmark of over block_bytes is searched block by block within the one
+    pass over docs; blocks lie in the shared folder, and a task holds one at a time.
+    """
+    out = _judged(_searched(docs, benchmark, window, shard_bytes, block_bytes), share)
+    return unboxed(out, docs.columns, **{c: F.col(c) for c in ("n_words", "hit_spans", "hit_items", "n_hit", "n_items", "contaminated")})
+
+
 def digest(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    out = judged(find_passages(docs.select("doc_id", "text"), benchmark, **how))
+    out = find_passages(docs.select("doc_id", "text"), benchmark, **how)
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), "contaminated")
 
 
@@ -249,17 +281,13 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without the contaminated ones, and without the hit spans in those that stay. Only texts with spans are rewritten."""
-    names = docs.columns
-    kept = judged(find_passages(docs, benchmark, **how)).filter(~F.col("contaminated"))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the contaminated ones, and without the hit spans in those that stay. Only texts with spans are rewritten; all other columns stay."""
+    kept = _judged(_searched(docs, benchmark, window, shard_bytes, block_bytes)).filter(~F.col("contaminated"))
 
     @F.pandas_udf("string")
     def cut(texts, spans):
         return texts.combine(spans, lambda t, s: cut_spans(t, [(x["start"], x["end"]) for x in s]) if t and len(s) else t)
 
-    return kept.withColumn("text", cut("text", "hit_spans")).select(*names)
-
-
-def sha256_items(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    out = kept.withColumn("text", cut("row.text", "hit_spans"))
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -98,26 +98,45 @@ def phone_at(text: str, at: int) -> tuple[Span | None, int]:
     return ((at, end) if 10 <= n <= 15 else None), end
 
 
-def url_at(text: str, at: int, low: int) -> Span | None:
+class Stretch:
+    """The last stretch of characters that a parser ran over, so that anchors inside it don't run over it again: a text is read once."""
+
+    def __init__(self, text: str, inside: Callable[[str], bool], *marks: Callable[[str], bool]):
+        self.text, self.inside, self.marks = text, inside, marks
+        self.start = self.end = -1
+        self.last = [-1] * len(marks)
+
+    def at(self, place: int) -> int:
+        """Where the stretch from `place` ends; last has the last place of each kind of mark in it, before `place` if there is none."""
+        if not self.start <= place < self.end:
+            self.start = self.end = place
+            while self.end < len(self.text) and self.inside(self.text[self.end]):
+                for k, mark in enumerate(self.marks):
+                    if mark(self.text[self.end]):
+                        self.last[k] = self.end
+                self.end += 1
+        return self.end
+
+
+def url_at(text: str, at: int, low: int, ahead: Stretch) -> Span | None:
     """The URL around the `://` at `at`: a scheme of letters before, a host with a letter or digit behind, to white space or a quote."""
     start = _run_left(text, at, low, ALNUM)
-    end = at + 3
-    while end < len(text) and text[end] not in URL_END:
-        end += 1
-    while end > at + 3 and text[end - 1] in ".,;:!?)]":
-        end -= 1
-    return (start, end) if start < at and text[start] not in DIGITS and any(c in ALNUM for c in text[at + 3 : end]) else None
+    if start == at or text[start] in DIGITS:
+        return None
+    ahead.at(at + 3)
+    letter, end = ahead.last
+    return (start, end + 1) if letter >= at + 3 else None
 
 
-def secret_after(text: str, end: int) -> Span | None:
+def secret_after(text: str, end: int, ahead: Stretch) -> Span | None:
     """The value behind a cue that ends at `end`: `=` or `:`, perhaps a quote, then 16 or more characters with letters and digits."""
     at = _run_right(text, end, frozenset(" \t\"'"))
     if at >= len(text) or text[at] not in "=:":
         return None
     at = _run_right(text, at + 1, frozenset(" \t\"'>"))
-    stop = _run_right(text, at, VALUE)
-    value = text[at:stop]
-    return (at, stop) if len(value) >= 16 and not DIGITS.isdisjoint(value) and any(c.isalpha() for c in value) else None
+    stop = ahead.at(at)
+    digit, letter = ahead.last
+    return (at, stop) if stop - at >= 16 and digit >= at and letter >= at else None
 
 
 def iban_valid(value: str) -> bool:
@@ -167,6 +186,8 @@ def find(text: str, automaton=None) -> dict[str, list[Span]]:
     """Spans of each kind, in code points, end exclusive; of one kind none overlap."""
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
     email_end = digit_end = ip_end = phone_end = url_end = 0
+    address = Stretch(text, lambda c: c not in URL_END, ALNUM.__contains__, lambda c: c not in ".,;:!?)]")
+    value = Stretch(text, VALUE.__contains__, DIGITS.__contains__, str.isalpha)
     for last, (what, size) in (automaton or _automaton()).iter(text):
         at = last - size + 1
         if what in DIGITS:
@@ -193,12 +214,11 @@ def find(text: str, automaton=None) -> dict[str, list[Span]]:
                 if span:
                     found["phone"].append(span)
         elif what == "url":
-            if at >= url_end and (span := url_at(text, at, url_end)):
+            if at >= url_end and (span := url_at(text, at, url_end, address)):
                 found["url"].append(span)
                 url_end = span[1]
         elif at == 0 or text[at - 1] not in ALNUM:
-            parse: Callable = secret_after if what == "secret" else account_after
-            span = parse(text, last + 1)
+            span = secret_after(text, last + 1, value) if what == "secret" else account_after(text, last + 1)
             if span and (not found[what] or span[0] >= found[what][-1][1]):
                 found[what].append(span)
     return found
@@ -215,7 +235,8 @@ def detect(docs: DataFrame) -> DataFrame:
     An Aho-Corasick automaton over at-signs, plus signs, digits, scheme marks and identifier cues gives the anchors; a
     local parser for each expands it to its boundaries and validates it. The four base kinds come out as their patterns,
     leftmost first and without retries, would give them; urls, secrets and accounts are added. Null texts are empty.
-    Texts are read whole, and repeated rows give repeated results.
+    Texts are read whole and in time in proportion to their length; repeated rows give repeated results, other columns are ignored,
+    a null doc_id stays null, and an empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

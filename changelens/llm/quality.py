@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from math import log2
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import boxed, let, unboxed, written
 
 SPLIT = r"[ \t\n\x0B\f\r]+"
 #: Features that rules may test, in the order of the bins array.
@@ -38,11 +39,12 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) >= 3, let(words, windows)).otherwise(F.lit(0)).cast("long")
 
 
-def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the base counts of the contract and the features of the rules; null texts have no words. No shuffle."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def features(docs: DataFrame) -> DataFrame:
+    """(row, base counts of the contract, features of the rules), row being docs' columns; null texts have no words. No shuffle."""
+    t = F.col("_t")
     counted = lambda c: F.octet_length(t) - F.octet_length(F.replace(t, F.lit(c), F.lit("")))
-    out = docs.withColumn("_w", F.array_remove(F.split(t, SPLIT), ""))
+    out = boxed(docs, F.coalesce("text", F.lit("")).alias("_t"))
+    out = out.withColumn("_w", F.array_remove(F.split(t, SPLIT), ""))
     worded = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")
     out = out.withColumns({"_l": worded, "_u": F.array_distinct("_w")})
     out = out.withColumns({
@@ -57,7 +59,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         "_excl": counted("!"),
         "_up": F.regexp_count(t, F.lit(r"\p{Lu}")),
         "_dig": F.regexp_count(t, F.lit(r"[0-9]")),
-    }).drop("_w", "_l", "_u")
+    }).drop("_t", "_w", "_l", "_u")
     share = lambda a, b: F.round(F.coalesce(F.try_divide(F.lit(100.0) * a, b), F.lit(0.0)), 6)
     w, c = F.col("n_words"), F.col("word_chars")
     return out.withColumns({
@@ -110,11 +112,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, max_rules: i
     """Sequential covering on labelled statistics.
 
     sample bounds the labelled rows that are fitted on: a hash of doc_id chooses that many in expectation, and all where
-    there are fewer. Labels other than 0 and 1 are ignored; of several labels of a document the lowest counts.
-    Thresholds are quantiles of the sample. Two thirds grow a rule, condition by condition, by FOIL gain; one third
-    prunes it to the prefix of best (p - n) / (p + n). A rule enters if its precision on the pruning third is at least
+    there are fewer. Labels other than 0 and 1 are ignored; of several labels of a document the lowest counts, and rows without
+    a doc_id have none. Thresholds are quantiles of the sample. Two thirds grow a rule, condition by condition, by FOIL gain; one
+    third prunes it to the prefix of best (p - n) / (p + n). A rule enters if its precision on the pruning third is at least
     min_precision and it covers at least min_covered bad documents in all; the rows that it covers leave before the next.
-    Every count is one small aggregate over a histogram by feature and bin. No labels, or only one class: no rules.
+    All counts come from one aggregate, a row for each vector of bins, of which there are at most as many as sampled rows; the
+    covering looks at that alone. No labels, or only one class: no rules.
     """
     good = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("_q")).filter(F.col("doc_id").isNotNull())
     total = good.count()
@@ -124,82 +127,66 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, max_rules: i
     chosen = good.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)).withColumnRenamed("doc_id", "_ld")
     chosen = F.broadcast(chosen) if total * share <= 200_000 else chosen
     rows = features(docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_ld")))
-    rows = written(rows.select("doc_id", *[F.col(f).cast("double").alias(f) for f in FEATURES], (F.lit(1) - F.col("_q")).cast("int").alias("y")), "quality-sample")
+    rows = written(rows.select("row.doc_id", *[F.col(f).cast("double").alias(f) for f in FEATURES], (F.lit(1) - F.col("row._q")).cast("int").alias("y")), "quality-sample")
     cuts = rows.agg(*[F.percentile_approx(f, list(QUANTILES), 2000).alias(f) for f in FEATURES]).first()
-    edges = {f: sorted(set(cuts[f] or [])) for f in FEATURES}
-    index = lambda f: sum(((F.col(f) > F.lit(e)).cast("int") for e in edges[f]), F.lit(0))
-    bins = rows.select(F.array(*[index(f) for f in FEATURES]).alias("b"), "y", (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(3)) == 0).alias("prune"))
-    bins = written(bins.groupBy("b", "y", "prune").agg(F.count("*").alias("n")).coalesce(4), "quality-bins")
-
-    at = {f: i for i, f in enumerate(FEATURES)}
-
-    def holds(c: Condition) -> Column:
-        edge = edges[c.feature].index(c.threshold)
-        value = F.col("b")[at[c.feature]]
-        return value > edge if c.above else value <= edge
-
-    def covers(rule: list[Condition]) -> Column:
-        out = F.lit(True)
-        for c in rule:
-            out = out & holds(c)
-        return out
-
-    def counts(df: DataFrame) -> dict:
-        found = df.groupBy("y", "prune").agg(F.sum("n").alias("n")).collect()
-        return {(r["y"], r["prune"]): r["n"] for r in found}
+    edges = [sorted(set(cuts[f] or [])) for f in FEATURES]
+    index = lambda f, at: sum(((F.col(f) > F.lit(e)).cast("int") for e in at), F.lit(0))
+    bins = rows.select(F.array(*[index(f, at) for f, at in zip(FEATURES, edges, strict=True)]).alias("b"), "y", (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(3)) == 0).alias("prune"))
+    found = bins.groupBy("b", "y", "prune").agg(F.count("*").alias("n")).collect()
+    b = np.array([r["b"] for r in found], np.int64).reshape(len(found), len(FEATURES))
+    y, prune, n = (np.array([r[c] for r in found], np.int64) for c in ("y", "prune", "n"))
+    left = np.ones(len(found), bool)
+
+    def tally(rows: np.ndarray) -> dict[tuple[int, bool], int]:
+        t = np.bincount(2 * y[rows] + prune[rows], n[rows], 4).astype(np.int64).tolist()
+        return {(k // 2, bool(k % 2)): v for k, v in enumerate(t)}
+
+    def best_condition(rows: np.ndarray):
+        """The condition of the largest gain over the rows, the first of equals, with the counts and rows that it leaves; None if none gains."""
+        whole, best = tally(rows), (1e-9, None)
+        for f, name in enumerate(FEATURES):
+            for e, edge in enumerate(edges[f]):
+                for above in (False, True):
+                    held = rows & ((b[:, f] > e) == above)
+                    got = tally(held)
+                    gain = _gain(got[1, False], got[0, False], whole[1, False], whole[0, False])
+                    if gain > best[0]:
+                        best = (gain + 1e-9, (Condition(name, above, edge), got, held))
+        return best[1]
 
     done = DecisionList()
-    left = bins
-    for _ in range(max_rules):
-        rule: list[Condition] = []
-        prefixes = []
-        while len(rule) < max_conditions:
-            histogram = left.filter(covers(rule)).select("y", "prune", "n", F.posexplode("b").alias("f", "bin")).groupBy("f", "bin", "y", "prune").agg(F.sum("n").alias("n")).collect()
-            by: dict = {}
-            for r in histogram:
-                by.setdefault(r["f"], {})[(r["bin"], r["y"], r["prune"])] = r["n"]
-            if not by:
+    while len(done.rules) < max_rules:
+        rule, steps, rows = [], [], left
+        while len(rule) < max_conditions and (step := best_condition(rows)):
+            rule.append(step[0])
+            steps.append(step[1:])
+            rows = step[2]
+            if step[1][0, False] == 0:
                 break
-            tot = {(y, p): sum(n for (_, a, b), n in by[0].items() if (a, b) == (y, p)) for y in (0, 1) for p in (False, True)}
-            p0, n0 = tot[1, False], tot[0, False]
-            best = (0.0, None, None)
-            for f, name in enumerate(FEATURES):
-                below = {(y, p): 0 for y in (0, 1) for p in (False, True)}
-                for e, edge in enumerate(edges[name]):
-                    for y in (0, 1):
-                        for p in (False, True):
-                            below[y, p] += by.get(f, {}).get((e, y, p), 0)
-                    for above in (False, True):
-                        got = {k: tot[k] - below[k] if above else below[k] for k in tot}
-                        gain = _gain(got[1, False], got[0, False], p0, n0)
-                        if gain > best[0] + 1e-9:
-                            best = (gain, Condition(name, above, edge), dict(got))
-            if best[1] is None:
-                break
-            rule.append(best[1])
-            prefixes.append(best[2])
-            if best[2][0, False] == 0:
-                break
-        worth = [((g[1, True] - g[0, True]) / max(1, g[1, True] + g[0, True]), -k) for k, g in enumerate(prefixes)]
-        if not worth:
+        if not rule:
             break
+        worth = [((g[1, True] - g[0, True]) / max(1, g[1, True] + g[0, True]), -k) for k, (g, _) in enumerate(steps)]
         k = -max(worth)[1]
-        rule, g = rule[: k + 1], prefixes[k]
-        p, n = g[1, True], g[0, True]
-        if g[1, False] + p < min_covered or p < min_precision * (p + n) or g[1, False] < min_precision * (g[1, False] + g[0, False]):
+        g, covered = steps[k]
+        p, q = g[1, True], g[0, True]
+        if g[1, False] + p < min_covered or p < min_precision * (p + q) or g[1, False] < min_precision * (g[1, False] + g[0, False]):
             break
-        done.rules.append(rule)
-        left = left.filter(~covers(rule))
+        done.rules.append(rule[: k + 1])
+        left = left & ~covered
     return done
 
 
 def apply_rules(docs: DataFrame, rules: DecisionList, min_words: int = 50, max_repeat_pct: int = 50) -> DataFrame:
-    """docs with the base counts, base_failed, rule (number of the first that holds, or null) and kept."""
-    names = [c for c in FEATURES if c != "n_words"]
-    out = features(docs)
+    """docs with the base counts, base_failed, rule (number of the first that holds, or null) and kept.
+
+    Null and empty texts have no words and fail the base rules. Texts are read whole, repeated rows give repeated results, and an
+    empty table gives an empty table. Other columns pass through, whatever their names; those of the names of the results are replaced.
+    3-word windows are equal where their 64-bit hashes are.
+    """
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
-    out = out.withColumns({"base_failed": failed, "rule": rules.column()})
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop(*names)
+    out = features(docs).withColumns({"base_failed": failed, "rule": rules.column()})
+    counts = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule")}
+    return unboxed(out, docs.columns, **counts, kept=~F.col("base_failed") & F.col("rule").isNull())
 
 
 def digest(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

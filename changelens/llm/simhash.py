@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
-from .common import LOWER_BYTES, byte_texts, written
+from ..operators.graph import connected_components, join_spread, partitions
+from .common import LOWER_BYTES, boxed, byte_texts, unboxed, written
 
 #: A bin over this size is dealt again by its other bits before pairs are compared, and this often at most.
 BIN_ROWS, ROUNDS = 4096, 3
@@ -215,18 +215,18 @@ def components(docs: DataFrame, tau: int = 3, words: int = 3, seed: int = 42, al
     """
     spark = docs.sparkSession
     own = written(fingerprints(docs, words, seed, also), "simhash-fp")
-    classes = own.groupBy("fp").agg(F.min("doc_id").alias("cid"))
+    classes = written(own.groupBy("fp").agg(F.min("doc_id").alias("cid"), F.count("*").alias("n")), "simhash-classes")
     n = classes.count()
     share = min(1.0, PLAN_SAMPLE / max(1, n))
     picked = classes.filter(F.pmod(F.xxhash64(F.lit(3), "fp"), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").limit(2 * PLAN_SAMPLE).collect()
     plan = choose_partitions(np.array(sorted(r["fp"] for r in picked), np.int64), n, tau)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = partitions(spark)
     edges = written(links(refined(bins(classes.select("fp"), plan), tau), tau, parts), "simhash-links")
     roots = connected_components(edges, "a", "b")
-    merged = roots.join(classes, roots["node"] == classes["fp"]).groupBy("component").agg(F.min("cid").alias("low"))
-    moved = roots.join(merged, "component").select(F.col("node").alias("fp"), "low", "component")
-    final = classes.join(moved, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("low", "cid").alias("component_id"), F.coalesce("component", "fp").alias("root"))
-    return own.join(final, own["fp"] == final["_fp"]).drop("_fp")
+    merged = roots.join(classes, roots["node"] == classes["fp"]).groupBy("component").agg(F.min("cid").alias("low"), F.count("*").alias("size"))
+    moved = join_spread(roots, merged, "component", "size", n, [F.col("node")]).select(F.col("node").alias("fp"), "low", "component")
+    final = classes.join(moved, "fp", "left").select("fp", "n", F.coalesce("low", "cid").alias("component_id"), F.coalesce("component", "fp").alias("root"))
+    return join_spread(own, final, "fp", "n", own.count(), [F.col("doc_id"), *map(F.col, also)])
 
 
 def near_duplicates(docs: DataFrame, tau: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
@@ -245,12 +245,13 @@ def representatives(docs: DataFrame, tau: int = 3, words: int = 3, seed: int = 4
 
     It is the row of the smallest doc_id, where null comes after all others. Of rows that share this doc_id the least hash
     of the text and then of all columns decides; of rows equal in all columns one stays. A row is known by two 64-bit
-    hashes of its columns, so rows that share a doc_id with that of another component are not mistaken for it.
+    hashes of its columns, so rows that share a doc_id with that of another component are not mistaken for it. All columns
+    come back, whatever their names; an empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    cells = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
-    keyed = docs.withColumns({"_th": F.xxhash64("text"), "_h1": F.xxhash64(F.lit(1), *cells), "_h2": F.xxhash64(F.lit(2), *cells)})
-    rows = components(keyed, tau, words, seed, ("_th", "_h1", "_h2")).groupBy("root", "doc_id", "_th", "_h1", "_h2").agg(F.count("*").alias("_n"))
+    cells = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    hashes = [F.xxhash64("text").alias("_th"), F.xxhash64(F.lit(1), *cells).alias("_h1"), F.xxhash64(F.lit(2), *cells).alias("_h2")]
+    keyed = boxed(docs, *hashes)
+    rows = components(docs.select("doc_id", "text", *hashes), tau, words, seed, ("_th", "_h1", "_h2")).groupBy("root", "doc_id", "_th", "_h1", "_h2").agg(F.count("*").alias("_n"))
     least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th", "_h1", "_h2", "_n")).alias("k"))
     chosen = written(least.select(F.col("k._h1").alias("_k1"), F.col("k._h2").alias("_k2"), F.col("k._n").alias("_n")), "simhash-chosen")
 
@@ -261,4 +262,4 @@ def representatives(docs: DataFrame, tau: int = 3, words: int = 3, seed: int = 4
     again = chosen.filter("_n > 1")
     if not again.isEmpty():
         out = out.unionByName(picked(again).dropDuplicates(["_h1", "_h2"]))
-    return out.select(*docs.columns)
+    return unboxed(out, docs.columns)

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, kept_at, remove, slices, written
+from ..operators.graph import remove
+from .common import byte_texts, kept_at, slices, written
 
 #: Leading bytes by which suffixes are grouped. Of the windows of LENGTH bytes each names one suffix of LEAD bytes in it.
 LEAD = 24

@@ -12,7 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from ..operators.graph import join_spread, partitions
+from .common import fresh_path, store, written
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes that a task owns, and bytes that it reads at a time.
@@ -21,12 +22,6 @@ SPLIT_BYTES, READ_BYTES = 8 << 20, 1 << 20
 HEADER_BYTES = 64 << 10
 
 
-def _store(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def _gzip(data: bytes, level: int = 4) -> bytes:
     z = zlib.compressobj(level, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
@@ -132,32 +127,32 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> D
     """Write pages (page_id, url, html) as archives below path and return (file, n_bytes, n_records).
 
     Of pages with equal payloads of min_revisit_bytes or more that with the largest page_id keeps it (a null page_id
-    only where all are null), the others become revisits. Equal payloads meet as digests, counted before the
-    join; the join is left to adaptive execution, which broadcasts a small side or splits a hot digest. A task writes
-    under a name of its attempt and then renames, so a repeated or lost task leaves one whole file.
+    only where all are null), the others become revisits; null payloads are empty ones. Equal payloads meet as digests, counted
+    before the join, which deals out the pages of a frequent digest. A task writes
+    under a name of its attempt and then renames, so a repeated or lost task leaves one whole file. Other columns are ignored.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("html"), F.sha1(payload).alias("_d"))
     keys = pages.select(F.col("page_id").cast("long"), F.sha1(payload).alias("_k"), F.octet_length(payload).alias("_n")).filter(F.col("_n") >= min_revisit_bytes)
-    again = keys.groupBy("_k").agg(F.max("page_id").alias("_top"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
-    typed = rows.join(again, rows["_d"] == again["_k"], "left")
+    again = keys.groupBy(F.col("_k").alias("_d")).agg(F.max("page_id").alias("_top"), F.count("*").alias("_c")).filter("_c > 1")
+    typed = join_spread(rows, again, "_d", "_c", pages.count(), [F.col("page_id"), F.col("url")])
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("_top")), F.col("_top"))
     typed = typed.select("page_id", "url", "html", refers.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(path)
+        disk, folder = store(path)
         context = TaskContext.get()
-        store.create_dir(folder, recursive=True)
+        disk.create_dir(folder, recursive=True)
         name = f"{folder}/part-{context.partitionId():06d}.warc.gz"
         temporary = f"{folder}/.{context.partitionId()}-{context.taskAttemptId()}"
         size = n = 0
-        with store.open_output_stream(temporary) as out:
+        with disk.open_output_stream(temporary) as out:
             for b in batches:
                 for x in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                     data = _gzip(record(x[0], x[1], x[2], x[3]))
                     out.write(data)
                     size, n = size + len(data), n + 1
-        store.move(temporary, name)
+        disk.move(temporary, name)
         yield pa.RecordBatch.from_arrays([pa.array([f"part-{context.partitionId():06d}.warc.gz"]), pa.array([size], pa.int64()), pa.array([n], pa.int64())], ["file", "n_bytes", "n_records"])
 
     return written(typed.mapInArrow(run, "file string, n_bytes long, n_records long"), "warc-manifest")
@@ -172,15 +167,15 @@ def read_archives(spark: SparkSession, path: str, manifest: DataFrame, split_byt
     of each file by the same ranges, and a file that holds others than n_records of the manifest is an error.
     """
     ranges = manifest.filter("n_bytes > 0").select("file", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = partitions(spark)
     ranges = ranges.repartition(parts, "file", "start")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(path)
+        disk, folder = store(path)
         for b in batches:
             found = []
             for name, size, start in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                with store.open_input_file(f"{folder}/{name}") as file:
+                with disk.open_input_file(f"{folder}/{name}") as file:
                     found.append(sum(1 for _ in owned_records(file, size, start, start + split_bytes)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["file", "n"])
 
@@ -191,12 +186,12 @@ def read_archives(spark: SparkSession, path: str, manifest: DataFrame, split_byt
         raise ValueError(f"{off['file']} holds {off['n_read']} records that can be read, the manifest has {off['n_records']}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(path)
+        disk, folder = store(path)
         names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         for b in batches:
             for name, size, start in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                with store.open_input_file(f"{folder}/{name}") as file:
+                with disk.open_input_file(f"{folder}/{name}") as file:
                     rows: list[tuple] = []
                     held = 0
                     for data in owned_records(file, size, start, start + split_bytes):
