@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import partitions
-from .common import SPACE, ascii_lower, boxed, let, unboxed, written
+from ..operators.graph import partitions, remove
+from .common import SPACE, ascii_lower, boxed, kept_at, let, unboxed, written
 
 #: Lines to a word of the bitmap; 62 keeps a word inside a signed long.
 WORD = 62
@@ -55,7 +55,7 @@ def keep_bitmaps(docs: DataFrame, mode: str = "frequent", min_docs: int = 10, mi
     parts = partitions(docs.sparkSession)
     lines = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), F.posexplode(_split(F.col("text"))).alias("_pos", "_line"))
     lines = lines.withColumn("_key", line_key(F.col("_line"))).filter(F.char_length("_key") >= min_chars)
-    lines = written(lines.select("_id", "_th", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2")), "lines")
+    lines, path = kept_at(lines.select("_id", "_th", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2")), "lines")
     ranged = _banded(lines, parts).repartitionByRange(parts, "_h1", "_h2", "_band")
     run = Window.partitionBy("_h1", "_h2", "_band")
     stream = run.orderBy("_id", "_pos", "_th")
@@ -74,18 +74,14 @@ def keep_bitmaps(docs: DataFrame, mode: str = "frequent", min_docs: int = 10, mi
         least = held.filter("_hot").groupBy(*hash_).agg(F.min("_first").alias("_least"))
         hot = held.filter("_hot").join(F.broadcast(least), hash_).filter(F.col("_least") != place).select(*held.columns)
         gone = held.filter("not _hot").unionByName(hot)
+    remove(docs.sparkSession, path)
     bits = F.bit_or(F.expr(f"shiftleft(1L, _pos % {WORD})")).bitwiseXOR(F.lit(FULL).cast("long"))
     words = gone.groupBy("_id", "_th", F.expr(f"_pos div {WORD}").cast("int").alias("_w")).agg(bits.alias("_bits"))
     return words.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("_w", "_bits"))).alias("keeps"))
 
 
-def line_dedup(docs: DataFrame, mode: str = "frequent", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """Apply keep_bitmaps: docs with n_lines, n_dropped, keeps and kept_text added.
-
-    Null and empty texts are one empty line, which has no key and stays. Rows that share a doc_id count as one document;
-    identical rows get identical results; a null doc_id is a document like any other. Other columns pass through, whatever
-    their names; those of the names of the four results are replaced. An empty table gives an empty table.
-    """
+def _applied(docs: DataFrame, mode: str, min_docs: int, min_chars: int) -> tuple[DataFrame, dict[str, Column]]:
+    """Boxed docs beside their bitmaps, and the results of line_dedup on them."""
     maps = keep_bitmaps(docs.select("doc_id", "text"), mode, min_docs, min_chars).withColumnsRenamed({"_id": "m_id", "_th": "m_th"})
     rows = boxed(docs, F.col("doc_id").alias("id"), F.col("text").alias("text"), F.xxhash64("text").alias("th"))
     joined = rows.join(maps, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")), "left")
@@ -95,7 +91,25 @@ def line_dedup(docs: DataFrame, mode: str = "frequent", min_docs: int = 10, min_
     kept = let(F.struct(lines.alias("ls"), F.map_from_entries("keeps").alias("m")), lambda x: F.filter(x["ls"], lambda line, i: stays(x["m"], i)))
     kept_text = F.when(F.col("keeps").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
     n_dropped = F.coalesce(F.aggregate("keeps", F.lit(0), lambda a, x: a + WORD - F.bit_count(x["_bits"])), F.lit(0)).cast("long")
-    return unboxed(joined, docs.columns, n_lines=F.size(lines).cast("long"), n_dropped=n_dropped, keeps=F.col("keeps"), kept_text=kept_text)
+    return joined, {"n_lines": F.size(lines).cast("long"), "n_dropped": n_dropped, "keeps": F.col("keeps"), "kept_text": kept_text}
+
+
+def line_dedup(docs: DataFrame, mode: str = "frequent", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """Apply keep_bitmaps: docs with n_lines, n_dropped, keeps and kept_text added.
+
+    Null and empty texts are one empty line, which has no key and stays. Rows that share a doc_id count as one document;
+    identical rows get identical results; a null doc_id is a document like any other. Other columns pass through, whatever
+    their names; those of the names of the four results are replaced. An empty table gives an empty table.
+    """
+    joined, results = _applied(docs, mode, min_docs, min_chars)
+    return unboxed(joined, docs.columns, **results)
+
+
+def without_lines(docs: DataFrame, mode: str = "frequent", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """docs with what line_dedup keeps for text; all other columns stay as they are."""
+    joined, results = _applied(docs, mode, min_docs, min_chars)
+    text = results["kept_text"].alias("text")
+    return joined.select(*[text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, **how) -> DataFrame:

@@ -176,6 +176,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, max_rules: i
     return done
 
 
+def _ruled(docs: DataFrame, rules: DecisionList, min_words: int, max_repeat_pct: int) -> DataFrame:
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
+    return features(docs).withColumns({"base_failed": failed, "rule": rules.column()})
+
+
+def passing(docs: DataFrame, rules: DecisionList, min_words: int = 50, max_repeat_pct: int = 50) -> DataFrame:
+    """The rows of docs, as they are, that apply_rules marks as kept."""
+    return unboxed(_ruled(docs, rules, min_words, max_repeat_pct).filter(~F.col("base_failed") & F.col("rule").isNull()), docs.columns)
+
+
 def apply_rules(docs: DataFrame, rules: DecisionList, min_words: int = 50, max_repeat_pct: int = 50) -> DataFrame:
     """docs with the base counts, base_failed, rule (number of the first that holds, or null) and kept.
 
@@ -183,8 +193,7 @@ def apply_rules(docs: DataFrame, rules: DecisionList, min_words: int = 50, max_r
     empty table gives an empty table. Other columns pass through, whatever their names; those of the names of the results are replaced.
     3-word windows are equal where their 64-bit hashes are.
     """
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
-    out = features(docs).withColumns({"base_failed": failed, "rule": rules.column()})
+    out = _ruled(docs, rules, min_words, max_repeat_pct)
     counts = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule")}
     return unboxed(out, docs.columns, **counts, kept=~F.col("base_failed") & F.col("rule").isNull())
 

@@ -10,13 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import remove
+from ..operators.graph import partitions, remove
 from .common import byte_texts, kept_at, slices, written
 
 #: Leading bytes by which suffixes are grouped. Of the windows of LENGTH bytes each names one suffix of LEAD bytes in it.
 LEAD = 24
-#: Text to a shard, text whose suffixes are looked at together, and suffixes that the splitters are sampled from, about.
-SHARD_BYTES, CHUNK_BYTES, SPLIT_SAMPLE = 8 << 20, 1 << 20, 20_000
+#: Text to a shard and text whose suffixes are looked at together, about.
+SHARD_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20
+#: Text to a range of suffixes, ranges at most, and sampled suffixes to a range; the driver holds the sample, 24 bytes each.
+RANGE_BYTES, MOST_RANGES, SAMPLED = 4 << 20, 200_000, 8
+#: Suffixes, about, above which a lead is divided by what stands around it.
+HEAVY = 50_000
+#: Rows that the quicksort leaves to a sort of all words at once.
+SMALL = 2048
 BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 P = 0x9E3779B97F4A7C15
 POWERS = {k: np.uint64(pow(P, k, 1 << 64)) for k in (1, 2, 4, 8)}
@@ -36,6 +42,12 @@ def _hashes(data: np.ndarray) -> np.ndarray:
     return x
 
 
+def _hashes_of(leads: np.ndarray) -> np.ndarray:
+    """The same hash for each row of LEAD bytes."""
+    parts = [_hashes(np.ascontiguousarray(leads[a : a + 20_000]).ravel())[::LEAD] for a in range(0, len(leads), 20_000)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
 def windows(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows that name the same suffix: (first, last) window start, place of the suffix, its hash.
 
@@ -112,6 +124,48 @@ def _batches(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> p
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
 
+def multikey_order(words: np.ndarray) -> np.ndarray:
+    """Order of the rows of a matrix of unsigned words: three-way quicksort on one word at a time, the next among equals only."""
+    order, todo = np.arange(len(words)), [(0, len(words), 0)]
+    while todo:
+        a, b, w = todo.pop()
+        if b - a < 2 or w == words.shape[1]:
+            continue
+        part = order[a:b]
+        if b - a <= SMALL:
+            order[a:b] = part[np.lexsort(words[part, w:].T[::-1])]
+            continue
+        x = words[part, w]
+        some = np.sort(x[:: max(1, len(x) // 63)])
+        pivot = some[len(some) // 2]
+        low, high = x < pivot, x > pivot
+        i, j = a + int(low.sum()), b - int(high.sum())
+        order[a:b] = np.concatenate([part[low], part[~(low | high)], part[high]])
+        todo += [(a, i, w), (i, j, w + 1), (j, b, w)]
+    return order
+
+
+def _words(m: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Rows of bytes as words that sort as the bytes do, and signed longs behind them."""
+    k = -(-m.shape[1] // 8)
+    out = np.zeros((len(m), k + len(more)), np.uint64)
+    wide = np.zeros((len(m), 8 * k), np.uint8)
+    wide[:, : m.shape[1]] = m
+    out[:, :k] = wide.view(">u8")
+    for i, x in enumerate(more):
+        out[:, k + i] = x.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return out
+
+
+def _mixed(words: np.ndarray) -> np.ndarray:
+    """64-bit hash of each row of words."""
+    h = np.zeros(len(words), np.uint64)
+    for w in range(words.shape[1]):
+        h = (h ^ words[:, w]) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def _variants(ids: list[int], texts: list[bytes]) -> np.ndarray:
     """Of each row of a shard the rank of its text among the texts of its doc_id, 0 where there is one. A shard has all rows of a doc_id."""
     of: dict[int, set[bytes]] = {}
@@ -128,10 +182,11 @@ def _bounds(keys: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(start.tolist(), [*start[1:].tolist(), len(keys)], strict=True)
 
 
-def leads(docs: DataFrame, length: int, shards: int, buckets: int, bits: int, sample_below: int) -> DataFrame:
+def leads(docs: DataFrame, length: int, buckets: int, bits: int, share: float) -> DataFrame:
     """(bucket, blob, owners): leads of the suffixes by ranges of their hash, each key once for each shard of a batch.
 
-    owners: shard * 2, plus 1 where more than one document of the shard has the key. Bucket -1 holds a hash sample of leads.
+    owners: shard * 64, plus twice the binary logarithm of how often the shard has the key, plus 1 where more than one document of it
+    does. Bucket -1 holds a sample of the leads, `share` of them, by place, so that a frequent lead is as frequent in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +199,8 @@ def leads(docs: DataFrame, length: int, shards: int, buckets: int, bits: int, sa
                 found, sample = [], []
                 for text, doc, _, ends in _chunks(byte_texts(part.column(1)), length):
                     _, _, place, h = windows(text, ends, length)
-                    picked = place[h < np.uint64(sample_below)]
-                    sample += [text[p : p + 16].tobytes() for p in picked]
+                    dice = np.random.default_rng([len(text), int(h[0]) if len(h) else 0]).random(len(place))
+                    sample += [text[p : p + LEAD].tobytes() for p in place[dice < share]]
                     d = doc[np.searchsorted(ends, place, "right")]
                     found.append(np.stack([h >> np.uint64(64 - bits), d.astype(np.uint64)]))
                 rows = []
@@ -159,7 +214,8 @@ def leads(docs: DataFrame, length: int, shards: int, buckets: int, bits: int, sa
                     new = np.concatenate([[True], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])])
                     at = np.flatnonzero(new)
                     more = doc[np.concatenate([at[1:], [len(doc)]]) - 1] != doc[at]
-                    key, owner = key[at], (shard[at] * np.uint64(2) + more).astype("<u4")
+                    often = np.log2(np.diff(at, append=len(key))).astype(np.uint64)
+                    key, owner = key[at], (shard[at] * np.uint64(64) + np.uint64(2) * often + more).astype("<u4")
                     bucket = (key // np.uint64(-(-(1 << bits) // buckets))).astype(np.int64)
                     for a, b in _bounds(bucket):
                         rows.append((int(bucket[a]), _pack_keys(key[a:b]), zstandard.compress(np.ascontiguousarray(owner[a:b].view(np.uint8).reshape(-1, 4).T).tobytes(), 1)))
@@ -168,8 +224,9 @@ def leads(docs: DataFrame, length: int, shards: int, buckets: int, bits: int, sa
     return docs.select("shard", "text").mapInArrow(run, "bucket int, blob binary, owners binary")
 
 
-def repeated(found: DataFrame) -> DataFrame:
-    """(shard, keys): the keys of each bucket that stand in two documents or more, for the shards that have them."""
+def repeated(found: DataFrame, parts: int) -> DataFrame:
+    """(shard, keys, heavy): the keys of each bucket that stand in two documents or more, for the shards that have them; heavy: those of over HEAVY suffixes."""
+    limit = HEAVY
 
     def merge(t: pa.Table) -> pa.Table:
         import zstandard
@@ -184,26 +241,55 @@ def repeated(found: DataFrame) -> DataFrame:
         same = key[1:] == key[:-1]
         twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         first = np.concatenate([[True], ~same])
-        multi = np.bitwise_or.reduceat(owner & 1, np.flatnonzero(first)).astype(bool)[np.cumsum(first) - 1]
-        key, shard = key[twice | multi], owner[twice | multi] >> 1
+        at, of = np.flatnonzero(first), np.cumsum(first) - 1
+        multi = np.bitwise_or.reduceat(owner & 1, at).astype(bool)[of]
+        heavy = (np.add.reduceat(1 << ((owner >> 1) & 31).astype(np.int64), at) > limit)[of]
+        hit = twice | multi
+        key, shard, heavy = key[hit], owner[hit] >> 6, heavy[hit]
         order = np.lexsort((key, shard))
-        key, shard = key[order], shard[order]
-        rows = [(int(shard[a]), _pack_keys(np.unique(key[a:b]))) for a, b in _bounds(shard)]
-        return pa.Table.from_batches([_batches(rows, [pa.int32(), pa.binary()], ["shard", "keys"])])
+        key, shard, heavy = key[order], shard[order], heavy[order]
+        rows = [(int(shard[a]), _pack_keys(np.unique(key[a:b])), _pack_keys(np.unique(key[a:b][heavy[a:b]]))) for a, b in _bounds(shard)]
+        return pa.Table.from_batches([_batches(rows, [pa.int32(), pa.binary(), pa.binary()], ["shard", "keys", "heavy"])])
 
-    return found.filter("bucket >= 0").groupBy("bucket").applyInArrow(merge, "shard int, keys binary")
+    return found.filter("bucket >= 0").repartition(parts, "bucket").groupBy("bucket").applyInArrow(merge, "shard int, keys binary, heavy binary")
 
 
 def _as_rows(matrix: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(matrix).view(f"V{matrix.shape[1]}").ravel()
 
 
-def contexts(docs: DataFrame, keys: DataFrame, length: int, bits: int, splitters: np.ndarray) -> DataFrame:
+def _least(m: np.ndarray, doc: np.ndarray, variant: np.ndarray, place: np.ndarray, length: int):
+    """Sorted rows of the smallest document that has each, a document's own repeats included; and (documents, variants, windows) of the others."""
+    order = multikey_order(_words(m, doc, place))
+    m, doc, variant, place = m[order], doc[order], variant[order], place[order]
+    row = _as_rows(m)
+    new = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+    later = doc > doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    before, behind = m[later, -1].astype(np.int64), m[later, -2].astype(np.int64)
+    gone = doc[later], variant[later], np.stack([place[later] - before, place[later] + behind - length], 1)
+    return (m[~later], doc[~later], variant[~later], place[~later]), gone
+
+
+def _by_window(m: np.ndarray, doc: np.ndarray, variant: np.ndarray, place: np.ndarray, length: int):
+    """The same rows cut into one for each window, which then is the suffix: its bytes and nothing before it."""
+    left = length - LEAD
+    line = np.concatenate([m[:, length : length + left][:, ::-1], m[:, :length]], 1)
+    before, size = m[:, -1].astype(np.int64), m[:, -1].astype(np.int64) + m[:, -2] - length + 1
+    r = np.repeat(np.arange(len(m)), size)
+    shift = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out = np.zeros((len(r), m.shape[1]), np.uint8)
+    out[:, :length] = np.lib.stride_tricks.sliding_window_view(line, length, axis=1)[r, left - before[r] + shift]
+    out[:, -2] = length
+    return out, doc[r], variant[r], place[r] - before[r] + shift
+
+
+def contexts(docs: DataFrame, keys: DataFrame, length: int, bits: int, splitters: np.ndarray, ranges: int, parts: int) -> DataFrame:
     """Suffixes whose lead repeats, with the bytes of their windows, by ranges of the lead; and what a shard finds by itself.
 
     Range r >= 0: rows, a matrix of [suffix][bytes before it, reversed][bytes used behind, before], and of each the
-    smallest document that has it in the shard, with each place of the suffix in that document. Range -1: documents of the shard and the first and last windows that
-    an equal row of a smaller document covers. variants tell the texts of one doc_id apart.
+    smallest document that has it in the shard, with each place of the suffix in that document. The windows around a heavy lead go as suffixes of
+    their own, to ranges by the hash of all their bytes: equal ones meet, and no range gets a heavy lead whole. Range -1: documents of the shard and the
+    first and last windows that an equal row of a smaller document covers. variants tell the texts of one doc_id apart.
     """
     left = length - LEAD
     width = length + left + 2
@@ -215,17 +301,17 @@ def contexts(docs: DataFrame, keys: DataFrame, length: int, bits: int, splitters
         if not reply.num_rows or not t.num_rows:
             return out.empty_table()
         shard = t.column("shard")[0].as_py()
-        known = np.unique(np.concatenate([_unpack_keys(x) for x in reply.column("keys").to_pylist()]))
+        known, heavy = (np.unique(np.concatenate([_unpack_keys(x) for x in reply.column(c).to_pylist()])) for c in ("keys", "heavy"))
         ids = t.column("doc_id").to_numpy()
         texts = byte_texts(t.column("text"))
         kinds = _variants(ids.tolist(), texts)
-        mats, docs_, variants, places, hashes = [], [], [], [], []
+        mats, docs_, variants, places = [], [], [], []
         for text, doc, start, ends in _chunks(texts, length):
             first, last, place, h = windows(text, ends, length)
             k = h >> np.uint64(64 - bits)
             at = np.minimum(np.searchsorted(known, k), len(known) - 1)
             hit = known[at] == k
-            first, last, place, h = first[hit], last[hit], place[hit], h[hit]
+            first, last, place = first[hit], last[hit], place[hit]
             part = np.searchsorted(ends, place, "right")
             before, behind = place - first, last + length - place
             padded = np.concatenate([np.zeros(left, np.uint8), text, np.zeros(length, np.uint8)])
@@ -241,45 +327,47 @@ def contexts(docs: DataFrame, keys: DataFrame, length: int, bits: int, splitters
             docs_.append(ids[doc[part]])
             variants.append(kinds[doc[part]])
             places.append(place - np.concatenate([[0], ends[:-1]])[part] + start[part])
-            hashes.append(h)
         if not mats or not sum(map(len, mats)):
             return out.empty_table()
-        m, doc, variant, place, h = np.concatenate(mats), np.concatenate(docs_), np.concatenate(variants), np.concatenate(places), np.concatenate(hashes)
-        del mats
-        row = _as_rows(m)
-        order = np.argsort(row, kind="stable")
-        order = order[np.lexsort((place[order], doc[order], _runs(row[order])))]
-        row, doc, variant, place, h, m = row[order], doc[order], variant[order], place[order], h[order], m[order]
-        new = np.concatenate([[True], row[1:] != row[:-1]])
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = doc > doc[head]
-        before, behind = m[:, -1].astype(np.int64), m[:, -2].astype(np.int64)
+        m, doc, variant, place = np.concatenate(mats), np.concatenate(docs_), np.concatenate(variants), np.concatenate(places)
+        del mats, docs_, variants, places
+        (m, doc, variant, place), gone = _least(m, doc, variant, place, length)
+        gone = [gone]
+        weighty = np.isin(_hashes_of(m[:, :LEAD]) >> np.uint64(64 - bits), heavy)
+        light, weighty = np.flatnonzero(~weighty), np.flatnonzero(weighty)
+        parts_ = [(m[light], doc[light], variant[light], place[light])]
+        spots = [np.searchsorted(splitters, np.ascontiguousarray(m[light, :LEAD]).view(f"S{LEAD}").ravel(), "right")]
+        for at in np.split(weighty, range(8192, len(weighty), 8192)):
+            own, more = _least(*_by_window(m[at], doc[at], variant[at], place[at], length), length)
+            parts_.append(own)
+            gone.append(more)
+            spots.append((_mixed(_words(own[0][:, :length])) % np.uint64(ranges)).astype(np.int64))
+        m, doc, variant, place = (np.concatenate(x) for x in zip(*parts_, strict=True))
+        spot = np.concatenate(spots)
         rows = []
-        if later.any():
-            rows.append((-1, shard, b"", doc[later].astype("<i8").tobytes(), variant[later].tobytes(), np.stack([place - before, place + behind - length], 1)[later].astype("<i8").tobytes()))
-        own = np.flatnonzero(~later)  # a document may hold its own row again elsewhere
-        m, doc, variant, place, h = m[own], doc[own], variant[own], place[own], h[own]
-        lead16 = np.ascontiguousarray(m[:, :16]).view("S16").ravel()
-        lo, hi = np.searchsorted(splitters, lead16, "left"), np.searchsorted(splitters, lead16, "right")
-        spot = lo + (h % (hi - lo + 1).astype(np.uint64)).astype(np.int64)
+        late = [np.concatenate(x) for x in zip(*gone, strict=True)]
+        if len(late[0]):
+            rows.append((-1, shard, b"", late[0].astype("<i8").tobytes(), late[1].tobytes(), late[2].astype("<i8").tobytes()))
         order = np.argsort(spot, kind="stable")
         spot, m, doc, variant, place = spot[order], m[order], doc[order], variant[order], place[order]
         for a, b in _bounds(spot):
             rows.append((int(spot[a]), shard, zstandard.compress(m[a:b].tobytes(), 1), doc[a:b].astype("<i8").tobytes(), variant[a:b].tobytes(), place[a:b].astype("<i8").tobytes()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    return docs.select("shard", "doc_id", "text").groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(run, "range int, shard int, rows binary, docs binary, variants binary, places binary")
+    texts = docs.select("shard", "doc_id", "text").repartition(parts, "shard").groupBy("shard")
+    return texts.cogroup(keys.repartition(parts, "shard").groupBy("shard")).applyInArrow(run, "range int, shard int, rows binary, docs binary, variants binary, places binary")
 
 
 def _runs(sorted_rows: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate([[0], (sorted_rows[1:] != sorted_rows[:-1]).astype(np.int64)])) if len(sorted_rows) else np.zeros(0, np.int64)
 
 
-def compared(found: DataFrame, length: int) -> DataFrame:
+def compared(found: DataFrame, length: int, parts: int) -> DataFrame:
     """(shard, docs, variants, places): windows of each range's rows that a smaller document has too, as first and last window start.
 
-    A range sorts its rows by suffix and then by what stands before it. Rows of one lead are neighbours; within them each window
-    of a row is ranked with its equals, and those of documents beyond the smallest are reported.
+    A range sorts its rows by suffix and then by what stands before it, by multikey quicksort. Rows of one lead are neighbours; within them each window
+    of a row is ranked with its equals, and those of documents beyond the smallest are reported. Ranges are cut between leads, and a heavy lead
+    between windows, so nothing that is equal stands on both sides of a boundary.
     """
     left = length - LEAD
 
@@ -293,11 +381,9 @@ def compared(found: DataFrame, length: int) -> DataFrame:
         variant = np.frombuffer(b"".join(t.column("variants").to_pylist()), "<i4")
         place = np.frombuffer(b"".join(t.column("places").to_pylist()), "<i8")
         shard = np.repeat(t.column("shard").to_numpy(), n)
-        row = _as_rows(m)
-        order = np.argsort(row, kind="stable")
-        kind = _runs(row[order])
-        order = order[np.lexsort((doc[order], kind))]
+        order = multikey_order(_words(m, doc))
         m, doc, variant, place, shard = m[order], doc[order], variant[order], place[order], shard[order]
+        kind = _runs(_as_rows(m))
         first = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
         least = doc[first][kind]
         before, behind = m[:, -1].astype(np.int64), m[:, -2].astype(np.int64)
@@ -328,7 +414,7 @@ def compared(found: DataFrame, length: int) -> DataFrame:
         rows = [(int(s[a]), doc[at[a:b]].astype("<i8").tobytes(), variant[at[a:b]].tobytes(), np.stack([lo[a:b], hi[a:b]], 1).astype("<i8").tobytes()) for a, b in _bounds(s)]
         return pa.Table.from_batches([_batches(rows, [pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["shard", "docs", "variants", "places"])])
 
-    return found.filter("range >= 0").groupBy("range").applyInArrow(run, "shard int, docs binary, variants binary, places binary")
+    return found.filter("range >= 0").repartition(parts, "range").groupBy("range").applyInArrow(run, "shard int, docs binary, variants binary, places binary")
 
 
 def _window_ranks(m: np.ndarray, doc: np.ndarray, lead: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -377,7 +463,8 @@ def removal(docs: DataFrame, length: int = 50) -> DataFrame:
     remove each other's bytes; those that differ in text are each judged by their own. Steps: every window of `length` bytes names one suffix by its least lead; hashes of the leads meet by hash
     range, and those in one document alone are done with; the others go, with the bytes of their windows, to ranges between
     splitters sampled from the leads, where they are sorted and compared. A shard sends equal rows once, so a passage that a third
-    of the documents hold costs a range one row for each shard, and ranges of equal splitters share a frequent lead by its hash.
+    of the documents hold costs a range one row for each shard, and the windows around a lead of over HEAVY suffixes are dealt to all ranges.
+    Other columns are ignored; an empty table gives an empty table.
     """
     if length < LEAD + 8 or length > 56:
         raise ValueError("length must be from 32 to 56 bytes")
@@ -385,23 +472,24 @@ def removal(docs: DataFrame, length: int = 50) -> DataFrame:
     null = -(1 << 63)
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(1, -(-total // SHARD_BYTES))
+    if shards >= 1 << 26:
+        raise ValueError(f"{shards} shards don't fit: raise SHARD_BYTES")
     buckets = max(16, -(-total // (8 << 20)))
-    density = (length - LEAD + 2) / 2
-    leads_about = max(1, int(total / density))
+    ranges = min(MOST_RANGES, max(16, -(-total // RANGE_BYTES)))
+    parts = max(partitions(spark), -(-total // (32 << 20)))  # for what is dealt by shard, bucket or range
+    leads_about = max(1, int(total / ((length - LEAD + 2) / 2)))
     bits = min(64, max(32, leads_about.bit_length() + 10))
-    below = min((1 << 64) - 1, (1 << 64) * SPLIT_SAMPLE // leads_about)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(null)).alias("doc_id"), "text")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    found, leads_at = kept_at(leads(rows, length, shards, buckets, bits, below), "suffix-leads")
+    found, leads_at = kept_at(leads(rows, length, buckets, bits, SAMPLED * ranges / leads_about), "suffix-leads")
     sample = b"".join(r["blob"] for r in found.filter("bucket = -1").select("blob").toLocalIterator())
-    sample = np.sort(np.frombuffer(sample, "S16"))
-    ranges = max(16, 2 * buckets)
-    splitters = sample[np.linspace(0, len(sample) - 1, ranges + 1).astype(int)[1:-1]] if len(sample) > ranges else sample
-    keys, keys_at = kept_at(repeated(found), "suffix-repeated")
+    sample = np.sort(np.frombuffer(sample, f"S{LEAD}"))
+    splitters = np.unique(sample[np.linspace(0, len(sample) - 1, ranges + 1).astype(int)[1:-1]]) if len(sample) else sample
+    keys, keys_at = kept_at(repeated(found, parts), "suffix-repeated")
     remove(spark, leads_at)
-    rest, rest_at = kept_at(contexts(rows, keys, length, bits, splitters), "suffix-contexts")
+    rest, rest_at = kept_at(contexts(rows, keys, length, bits, splitters, ranges, parts), "suffix-contexts")
     remove(spark, keys_at)
-    spans = compared(rest, length).unionByName(rest.filter("range = -1").select("shard", "docs", "variants", "places"))
+    spans = compared(rest, length, parts).unionByName(rest.filter("range = -1").select("shard", "docs", "variants", "places"))
     spans = written(spans, "suffix-spans")
     remove(spark, rest_at)
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -434,4 +522,4 @@ def removal(docs: DataFrame, length: int = 50) -> DataFrame:
             rows.append((None if i == null else i, len(text), removed, runs, hashlib.sha256(kept).hexdigest()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out) if rows else out.empty_table()
 
-    return rows.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.repartition(parts, "shard").groupBy("shard").cogroup(spans.repartition(parts, "shard").groupBy("shard")).applyInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

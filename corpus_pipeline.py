@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens.llm import decontaminate, lines, packing, quality, simhash
-from changelens.llm.common import fresh_path, table
+from changelens.llm.common import kept_at, table
+from changelens.operators.graph import remove
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep."""
     rules = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.apply_rules(docs, rules).filter("kept").select(*docs.columns)
+    return quality.passing(docs, rules)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that ten documents or more share."""
-    out = lines.line_dedup(docs)
-    return out.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}).select(*docs.columns)
+    return lines.without_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated, without the passages of the benchmark that they quote."""
-    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +43,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage returned is deleted once the next is written; only the last one's input stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
-            path = fresh_path(spark, f"pipeline-{n}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs, path = kept_at(docs, f"pipeline-{n}")
+            if before:
+                remove(spark, before)
+            before = path
     return docs

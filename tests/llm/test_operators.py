@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -119,6 +120,18 @@ def test_pii_fuzz():
         assert {k: found[k] for k in BASE} == base_spans(text), text
 
 
+@pytest.mark.parametrize("unit", ["://", "a://", "token=", "secret: ", "account ", "iban", "@", "a@", "+1 ", "+", "1.", "1 ", "1.2.3.", "a.", "no "])
+def test_pii_takes_linear_time(unit):
+    """A million characters of an anchor; the same a tenth as long tells how long that may take."""
+    automaton, took = pii._automaton(), []
+    for n in (100_000, 1_000_000):
+        text = unit * (n // len(unit))
+        began = time.process_time()
+        pii.find(text, automaton)
+        took.append(time.process_time() - began)
+    assert took[1] < 25 * max(took[0], 0.05)
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -292,6 +305,37 @@ def test_suffixes_of_shared_ids(spark, monkeypatch):
     same([tuple(r) for r in suffixes.removal(df).collect()], removal(docs))
 
 
+@pytest.mark.parametrize("heavy", [0, 3, 40])
+def test_suffixes_of_a_heavy_lead(spark, monkeypatch, heavy):
+    """One lead of 24 bytes in all documents with different bytes around it, and some passages around it that repeat."""
+    monkeypatch.setattr(suffixes, "HEAVY", heavy)
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 500)
+    rng = np.random.default_rng(22)
+    some = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    lead = some(24)
+    passages_ = [some(30) + lead + some(30) for _ in range(5)]
+    docs = [(i, some(int(rng.integers(0, 60))) + (passages_[i % 25 // 5] if i % 5 == 0 else some(20) + lead + some(20)) + some(int(rng.integers(0, 40))) + lead) for i in range(120)]
+    docs += [(200, lead * 6), (201, lead * 6), (202, "q" * 300), (203, "q" * 120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = removal(docs)
+    assert sum(r[2] > 0 for r in want) > 15
+    same([tuple(r) for r in suffixes.removal(df).collect()], want)
+
+
+@pytest.mark.parametrize("small", [1, 16, 4096])
+def test_multikey_order(monkeypatch, small):
+    monkeypatch.setattr(suffixes, "SMALL", small)
+    rng = np.random.default_rng(23)
+    for high, shape in ((2, (700, 5)), (1 << 40, (700, 3)), (1, (50, 2)), (3, (0, 4))):
+        words = rng.integers(0, high, shape).astype(np.uint64)
+        got = words[suffixes.multikey_order(words)].tolist()
+        assert got == sorted(words.tolist())
+    m = rng.integers(0, 256, (400, 11)).astype(np.uint8)
+    more = rng.integers(-5, 5, 400)
+    order = suffixes.multikey_order(suffixes._words(m[:, :1] // 64, more))
+    assert [(int(a), int(b)) for a, b in zip(m[order, 0] // 64, more[order], strict=True)] == sorted((int(a) // 64, int(b)) for a, b in zip(m[:, 0], more, strict=True))
+
+
 def test_ties_of_words():
     class Counted(np.ndarray):
         read = 0

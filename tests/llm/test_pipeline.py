@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from changelens.llm import decontaminate, lines, quality
 from test_operators import base_counts, check_packing, components, op3_words, passages, slow_fingerprint
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -136,3 +137,34 @@ def test_line_and_decontamination_stages(spark, odd, tmp_path):
 def test_packed_stage(spark):
     rows = near_rows()
     check_packing(corpus_pipeline.packed(spark, spark.createDataFrame(rows, SCHEMA), "").collect(), [r[:2] for r in rows])
+
+
+#: Names that operators use while they work, or for what they return.
+TAKEN = (
+    "row _th _h1 _h2 _id _pos _key _line _w _l _u _t _lines _hot _band _docs n_words mean_word word_chars n_symbols rule base_failed hit_spans hit_items n_hit n_items "
+    "contaminated keeps N_Lines n_dropped kept_text fp root component component_id n id th m_id m_th _sj _k1 _k2 _n kept length start _at _part _rank _ld _q quality"
+).split()
+
+
+def test_clashing_columns(spark, tmp_path):
+    rows, labels, items = corpus()
+    wide = spark.createDataFrame([(*r, *[f"{c} {k}" for c in TAKEN]) for k, r in enumerate(rows)], SCHEMA + ", " + ", ".join(f"`{c}` string" for c in TAKEN)).repartition(3)
+    for name, data, schema in (("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id string, text string")):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    key = {r[5]: r for r in map(tuple, wide.collect())}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, str(tmp_path))
+        assert got.columns == wide.columns, name
+        got = got.collect()
+        assert got and len({r[5] for r in got}) == len(got), name
+        assert all(tuple(r)[5:] == key[r[5]][5:] and (r[0], *r[2:4]) == (key[r[5]][0], *key[r[5]][2:4]) for r in got), name
+    check_packing(corpus_pipeline.STAGES[-1][1](spark, wide, "").collect(), [r[:2] for r in rows])
+    docs = wide.select("doc_id", "text", *TAKEN)
+    for out, names in (
+        (lines.line_dedup(docs), {"n_lines", "n_dropped", "keeps", "kept_text"}), (lines.line_dedup(docs, "first"), {"n_lines", "n_dropped", "keeps", "kept_text"}),
+        (quality.apply_rules(docs, quality.DecisionList()), {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept"}),
+        (decontaminate.find_passages(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")), {"n_words", "hit_spans", "hit_items", "n_hit", "n_items", "contaminated"}),
+    ):
+        assert len(out.columns) == len({c.lower() for c in out.columns}) and names <= set(out.columns)
+        same = [c for c in docs.columns if c.lower() not in names and c != "text"]
+        assert Counter(tuple(r) for r in out.select(*same).collect()) == Counter(tuple(r) for r in docs.select(*same).collect())
