@@ -48,6 +48,14 @@ def _hashes_of(leads: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
+def _keys(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Evenly spread keys of `bits` bits: the hashes that windows name are least ones, most of them small."""
+    x = hashes * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(P)
+    return x >> np.uint64(64 - bits)
+
+
 def windows(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows that name the same suffix: (first, last) window start, place of the suffix, its hash.
 
@@ -202,7 +210,7 @@ def leads(docs: DataFrame, length: int, buckets: int, bits: int, share: float) -
                     dice = np.random.default_rng([len(text), int(h[0]) if len(h) else 0]).random(len(place))
                     sample += [text[p : p + LEAD].tobytes() for p in place[dice < share]]
                     d = doc[np.searchsorted(ends, place, "right")]
-                    found.append(np.stack([h >> np.uint64(64 - bits), d.astype(np.uint64)]))
+                    found.append(np.stack([_keys(h, bits), d.astype(np.uint64)]))
                 rows = []
                 if sample:
                     rows.append((-1, b"".join(sample), b""))
@@ -308,7 +316,7 @@ def contexts(docs: DataFrame, keys: DataFrame, length: int, bits: int, splitters
         mats, docs_, variants, places = [], [], [], []
         for text, doc, start, ends in _chunks(texts, length):
             first, last, place, h = windows(text, ends, length)
-            k = h >> np.uint64(64 - bits)
+            k = _keys(h, bits)
             at = np.minimum(np.searchsorted(known, k), len(known) - 1)
             hit = known[at] == k
             first, last, place = first[hit], last[hit], place[hit]
@@ -333,7 +341,7 @@ def contexts(docs: DataFrame, keys: DataFrame, length: int, bits: int, splitters
         del mats, docs_, variants, places
         (m, doc, variant, place), gone = _least(m, doc, variant, place, length)
         gone = [gone]
-        weighty = np.isin(_hashes_of(m[:, :LEAD]) >> np.uint64(64 - bits), heavy)
+        weighty = np.isin(_keys(_hashes_of(m[:, :LEAD]), bits), heavy)
         light, weighty = np.flatnonzero(~weighty), np.flatnonzero(weighty)
         parts_ = [(m[light], doc[light], variant[light], place[light])]
         spots = [np.searchsorted(splitters, np.ascontiguousarray(m[light, :LEAD]).view(f"S{LEAD}").ravel(), "right")]
