@@ -59,10 +59,12 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, n: str, total: int,
     hot = F.col(n) * parts > total
     value = F.struct(F.lit(True).alias("found"), *added)
     few = F.broadcast(right.filter(hot).select(F.col(key).alias("_sj_k"), value.alias("_sj_few")))
-    rest = right.filter(~hot).select(F.col(key).alias("_sj_r"), F.lit(0).cast("long").alias("_sj_z"), value.alias("_sj_rest"))
+    # Key and share are one value: as two, the share of rest, a constant, would leave the join's keys and with them the shuffle.
+    rest = right.filter(~hot).select(F.struct(F.col(key).alias("k"), F.lit(0).cast("long").alias("s")).alias("_sj_r"), value.alias("_sj_rest"))
     dealt = left.join(few, F.col(key) == F.col("_sj_k"), "left")
-    dealt = dealt.withColumn("_sj_s", F.when(F.col("_sj_few").isNull(), F.lit(0).cast("long")).otherwise(1 + F.pmod(F.xxhash64(*by), F.lit(parts))))
-    met = dealt.join(rest, (F.col(key) == F.col("_sj_r")) & (F.col("_sj_s") == F.col("_sj_z")), "left")
+    share = F.when(F.col("_sj_few").isNull(), F.lit(0).cast("long")).otherwise(1 + F.pmod(F.xxhash64(*by), F.lit(parts)))
+    dealt = dealt.withColumn("_sj_l", F.struct(F.col(key).alias("k"), share.alias("s")))
+    met = dealt.join(rest, F.col("_sj_l") == F.col("_sj_r"), "left")
     met = met.withColumn("_sj", F.coalesce("_sj_few", "_sj_rest"))
     return met.select(*left.columns, *[F.col("_sj")[c].alias(c) for c in added])
 
