@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,10 @@ ENTRY = "struct<source:string,lang:string,version:string,tokens:long>"
 
 
 def count_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, source, lang, n_words, n_bpe) of each row, whole texts; null texts have no tokens. n_words counts runs outside ASCII white space."""
+    """(doc_id, source, lang, n_words, n_bpe) of each row, whole texts; null texts have no tokens. n_words counts runs outside ASCII white space.
+
+    Null ids, sources and languages stay null, repeated rows are counted each, other columns are ignored, and an empty table gives an empty table.
+    """
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,11 +50,13 @@ def signed(events: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals by source, language and tokenizer version in a folder of committed batches.
+    """Totals by source, language and tokenizer version in a folder, maintained by batches of deltas.
 
-    A batch is aggregated to one row a key, map-side first, and written beside the others under its id; the rename of its
-    folder is the commit. A batch whose folder exists is left alone, so a retry or a repeated delivery changes nothing, and a
-    job that dies before the rename leaves nothing that totals() reads.
+    A batch is aggregated to one row a key, map-side first, and written aside; the rename of its folder to that of its id, which
+    fails if there is one, is the commit. So a retry, a repeated delivery or a second committer of an id changes nothing, and a job
+    that dies before the rename leaves nothing that totals() reads. Each commit then adds its delta to the totals, as a new
+    snapshot beside the ids that it covers; batches that no snapshot covers, as after a lost job or a race, are added by totals()
+    and by the next commit. What is read is one row a key, however many batches there were.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -61,34 +67,71 @@ class Rollup:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def batches(self) -> list[str]:
+    def _claim(self, stage: str, target: str) -> bool:
+        """Rename stage to target, which must not exist; False, with stage removed, if it does."""
+        context = self.spark.sparkContext
+        jvm, fs, (_, to) = context._jvm, self._fs(stage)[0], self._fs(target)
+        fs.mkdirs(to.getParent())
+        how = context._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), context._jsc.hadoopConfiguration()).rename(self._fs(stage)[1], to, how)
+        except Py4JJavaError:
+            fs.delete(self._fs(stage)[1], True)
+            if fs.exists(to):
+                return False
+            raise
+        return True
+
+    def _named(self, kind: str) -> list[str]:
         fs, p = self._fs(self.path)
-        return sorted(s.getPath().getName().removeprefix("batch=") for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=")) if fs.exists(p) else []
+        return sorted(s.getPath().getName().removeprefix(f"{kind}=") for s in fs.listStatus(p) if s.getPath().getName().startswith(f"{kind}=")) if fs.exists(p) else []
+
+    def batches(self) -> list[str]:
+        return self._named("batch")
+
+    def _state(self) -> tuple[int, list[str], bool, DataFrame]:
+        """Number of the last snapshot, all batches, whether any is not in it, and the rows of the snapshot and of those."""
+        done, now = self._named("snapshot"), self.batches()
+        covered, paths = set(), []
+        if done:
+            at = f"{self.path}/snapshot={done[-1]}"
+            covered = {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{at}/covered").collect()}
+            paths.append(f"{at}/totals")
+        new = [f"{self.path}/batch={b}" for b in now if b not in covered]
+        rows = self.spark.read.schema(DELTA).parquet(*paths, *new) if paths or new else self.spark.createDataFrame([], DELTA)
+        return int(done[-1]) if done else 0, now, bool(new), rows
 
     def commit(self, batch: str, events: DataFrame) -> bool:
         """Apply a batch once; False if its id was committed before."""
         if not batch or not all(c.isalnum() or c in "-_" for c in batch):
             raise ValueError(f"a batch id has letters, digits, - and _ only: {batch!r}")
-        fs, target = self._fs(f"{self.path}/batch={batch}")
-        if fs.exists(target):
+        if batch in self.batches():
             return False
         stage = fresh_path(self.spark, "rollup-stage")
-        delta = signed(events).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        delta.write.parquet(stage)
-        fs.mkdirs(target.getParent())
-        if not fs.rename(self._fs(stage)[1], target):
-            fs.delete(self._fs(stage)[1], True)
+        _summed(signed(events)).write.parquet(stage)
+        if not self._claim(stage, f"{self.path}/batch={batch}"):
             return False
+        self.fold()
         return True
 
+    def fold(self) -> bool:
+        """Write the totals of all committed batches as the next snapshot; False if there is nothing new or another writer was first."""
+        last, now, new, rows = self._state()
+        if not new:
+            return False
+        stage = fresh_path(self.spark, "rollup-stage")
+        _summed(rows).write.parquet(f"{stage}/totals")
+        self.spark.createDataFrame([(b,) for b in now], "batch string").write.parquet(f"{stage}/covered")
+        return self._claim(stage, f"{self.path}/snapshot={last + 1:010d}")
+
     def totals(self) -> DataFrame:
-        """(source, lang, version, n_docs, n_tokens), keys without a document and a token left out."""
-        done = self.batches()
-        if not done:
-            return self.spark.createDataFrame([], DELTA)
-        rows = self.spark.read.schema(DELTA).parquet(*[f"{self.path}/batch={b}" for b in done])
-        out = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return out.filter("n_docs != 0 or n_tokens != 0")
+        """(source, lang, version, n_docs, n_tokens), keys without a document and a token left out; null sources and languages are keys like others."""
+        return _summed(self._state()[-1]).filter("n_docs != 0 or n_tokens != 0")
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def maintained(docs: DataFrame, labels: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from functools import lru_cache
@@ -10,8 +11,11 @@ from itertools import islice
 from .common import give_back
 
 #: Words that a worker remembers, from task to task; beyond, the half that it met first stays, which holds the frequent ones.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 480_000
 LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+# How a tokenizer must normalise and cut for its ids to be put together from those of words.
+LOWERS = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def default_tokenizer() -> str:
@@ -29,9 +33,9 @@ def word_cache(path: str) -> WordCache:
 class WordCache:
     """Ids of UTF-8 texts as little-endian unsigned 32-bit bytes.
 
-    word_bpe_49k drops white space before its merges, so the ids of a text are those of its space-separated pieces, one
-    after another. Each different piece is tokenized once and remembered; only ASCII white space cuts, so that all
-    else is left to the tokenizer.
+    A tokenizer whose file lower-cases and drops white space before its merges, as LOWERS and CUTS say, gives a text the ids of its
+    space-separated pieces, one after another. Each different piece is tokenized once and remembered; only ASCII white space cuts, so that all
+    else is left to the tokenizer. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -40,6 +44,16 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        cut = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        first = {"type": "Split", "pattern": {"Regex": CUTS}, "behavior": "Removed", "invert": True}
+        then = [x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in cut[1:]]
+        self.by_word = made.get("normalizer") == LOWERS and cut[0] == first and all(then) and not made["model"].get("dropout")
+
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
 
     def _encode(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 20_000):
@@ -55,6 +69,8 @@ class WordCache:
         give_back()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_word:
+            return self._whole(texts)
         # The tokenizer lower-cases all but its special tokens, which start with <|; doing so first makes fewer words.
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.known) > CACHE_WORDS:

@@ -512,6 +512,34 @@ def test_rollup_commits(spark, odd, none, labels, tmp_path):
     assert sum(r["n_docs"] for r in rollups.maintained(odd, labels.filter("false")).collect()) == odd.count()
 
 
+def test_rollup_races(spark, tmp_path):
+    roll = rollups.Rollup(spark, f"file://{tmp_path}/r")
+    add = lambda n: spark.createDataFrame([(None, ("s", None, "v", n))], f"old {rollups.ENTRY}, new {rollups.ENTRY}")
+    total = lambda: [tuple(r) for r in roll.totals().collect()]
+    assert roll.commit("a", add(5)) and not roll.commit("a", add(5)) and total() == [("s", None, "v", 1, 5)]
+    # A second committer of an id that has written its delta by now: its folder must not slip into the committed one.
+    rollups._summed(rollups.signed(add(5))).write.parquet(f"{tmp_path}/late")
+    assert not roll._claim(f"file://{tmp_path}/late", f"{roll.path}/batch=a") and total() == [("s", None, "v", 1, 5)]
+    # A job lost between its commit and the snapshot: the batch counts, once, before and after the next commit.
+    rollups._summed(rollups.signed(add(7))).write.parquet(f"{roll.path}/batch=b")
+    assert total() == [("s", None, "v", 2, 12)] and not roll.commit("b", add(7))
+    assert roll.commit("c", add(1)) and total() == [("s", None, "v", 3, 13)] and not roll.fold()
+    assert len(roll._named("snapshot")) == 2
+
+
+def test_tokens_of_other_tokenizers(documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [(r["text"] or "").encode() for r in documents.limit(40).collect()] + [b"", b" A  b, c. ", "Ä 中文".encode()]
+    for name, by_word in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        cache = tokens.WordCache(public_tokenizers.path(name))
+        whole = Tokenizer.from_file(public_tokenizers.path(name))
+        assert cache.by_word == by_word
+        for t, got in zip(texts, cache.ids(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == whole.encode(t.decode(), add_special_tokens=False).ids
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
