@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import struct
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
+
 from .common import give_back
 
 #: Words that a worker remembers, from task to task; beyond, the half that it met first stays, which holds the frequent ones.
-CACHE_WORDS = 480_000
-LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+CACHE_WORDS = 700_000
+#: Words that are tokenized as one text, where each is one piece.
+TOGETHER = 200
+MARKS = string.punctuation.encode()
 # How a tokenizer must normalise and cut for its ids to be put together from those of words.
 LOWERS = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -49,6 +54,11 @@ class WordCache:
         cut = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         first = {"type": "Split", "pattern": {"Regex": CUTS}, "behavior": "Removed", "invert": True}
         then = [x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in cut[1:]]
+        words = self.tokenizer.get_vocab()
+        suffix = made["model"].get("end_of_word_suffix")
+        #: Of each id whether its token ends a piece.
+        self.ends = np.zeros(max(words.values(), default=0) + 1, bool)
+        self.ends[[i for w, i in words.items() if suffix and w.endswith(suffix)]] = True
         self.by_word = made.get("normalizer") == LOWERS and cut[0] == first and all(then) and not made["model"].get("dropout")
 
     def _whole(self, texts: list[bytes]) -> list[bytes]:
@@ -56,11 +66,25 @@ class WordCache:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
 
     def _encode(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        """Remember the ids of words. Runs of ASCII letters are one piece each, so many go as one text whose ids the ends of pieces cut."""
+        runs, rest = [], []
+        for w in words:
+            (runs if w.isalpha() else rest).append(w)
+        for at in range(0, len(runs), 100 * TOGETHER):
+            parts = [runs[i : i + TOGETHER] for i in range(at, min(at + 100 * TOGETHER, len(runs)), TOGETHER)]
+            for part, e in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+                if len(cuts) != len(part):
+                    rest += part
+                    continue
+                data, start = ids.tobytes(), 0
+                for w, stop in zip(part, cuts, strict=True):
+                    self.known[w] = data[start:stop]
+                    start = stop
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            self.known.update(zip(part, self._whole(part), strict=True))
 
     def settle(self) -> None:
         """At the end of a task: keep at most half the words and give free memory back, which an idle worker would hold."""
@@ -77,12 +101,17 @@ class WordCache:
             self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))
         known = self.known
         new = set().union(*words).difference(known)
-        # A stop or comma behind an ASCII letter is a piece of its own: those words are put together from two known ones.
-        ended = [w for w in new if w[-1:] in (b".", b",") and len(w) > 1 and w[-2] in LETTERS]
-        new.difference_update(ended)
-        new.update(w[:-1] for w in ended)
-        new.update(w[-1:] for w in ended)
+        # ASCII marks behind a letter are a piece of their own: those words are put together from two known ones.
+        ended = [(w, stem) for w in new if w[-1] in MARKS and (stem := w.rstrip(MARKS)) and b"<|" not in w and _letter_last(stem)]
+        new.difference_update([w for w, _ in ended])
+        new.update([stem for _, stem in ended])
+        new.update([w[len(stem) :] for w, stem in ended])
         self._encode([w for w in new if w not in known])
-        for w in ended:
-            known[w] = known[w[:-1]] + known[w[-1:]]
+        for w, stem in ended:
+            known[w] = known[stem] + known[w[len(stem) :]]
         return [b"".join(map(known.__getitem__, w)) for w in words]
+
+
+def _letter_last(word: bytes) -> bool:
+    """Whether the last character is a letter and in lower case still ends with one."""
+    return word[-1:].isalpha() or word[-1] > 127 and word[-4:].decode("utf-8", "ignore")[-1:].lower()[-1:].isalpha()
