@@ -8,6 +8,7 @@ import string
 import struct
 from functools import lru_cache
 from itertools import islice
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -66,10 +67,10 @@ class WordCache:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
 
     def _encode(self, words: list[bytes]) -> None:
-        """Remember the ids of words. Runs of ASCII letters are one piece each, so many go as one text whose ids the ends of pieces cut."""
+        """Remember the ids of words. Runs of letters are one piece each, so many go as one text whose ids the ends of pieces cut."""
         runs, rest = [], []
         for w in words:
-            (runs if w.isalpha() else rest).append(w)
+            (runs if w.isalpha() or _letters(w) else rest).append(w)
         for at in range(0, len(runs), 100 * TOGETHER):
             parts = [runs[i : i + TOGETHER] for i in range(at, min(at + 100 * TOGETHER, len(runs)), TOGETHER)]
             for part, e in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
@@ -112,6 +113,14 @@ class WordCache:
         return [b"".join(map(known.__getitem__, w)) for w in words]
 
 
+def _letters(word: bytes) -> bool:
+    """Whether a word is letters only, composed and in lower case too."""
+    if word.isascii():
+        return False
+    text = word.decode()
+    return text.lower().isalpha() and is_normalized("NFC", text)
+
+
 def _letter_last(word: bytes) -> bool:
     """Whether the last character is a letter and in lower case still ends with one."""
     return word[-1:].isalpha() or word[-1] > 127 and word[-4:].decode("utf-8", "ignore")[-1:].lower()[-1:].isalpha()
