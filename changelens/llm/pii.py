@@ -20,6 +20,8 @@ URL_END = frozenset(" \t\n\x0b\f\r\"'<>`{}|\\^")
 VALUE = ALNUM | frozenset("_-+/=.")
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "secret", "account")
+#: Kinds that are personal data or secrets; an address of a page is neither.
+PRIVATE = (*BASE, "secret", "account")
 #: Cues after which a secret or an account number stands.
 SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "private_key")
 ACCOUNT_CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "passport", "ssn")
@@ -230,11 +232,11 @@ def _listed(found: dict[str, list[Span]], kinds: tuple[str, ...]) -> str:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row of docs, in one pass without a shuffle.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_private) of each row of docs, in one pass without a shuffle.
 
     An Aho-Corasick automaton over at-signs, plus signs, digits, scheme marks and identifier cues gives the anchors; a
     local parser for each expands it to its boundaries and validates it. The four base kinds come out as their patterns,
-    leftmost first and without retries, would give them; urls, secrets and accounts are added. Null texts are empty.
+    leftmost first and without retries, would give them; urls, secrets and accounts are added, and n_private counts all but urls. Null texts are empty.
     Texts are read whole and in time in proportion to their length; repeated rows give repeated results, other columns are ignored,
     a null doc_id stays null, and an empty table gives an empty table.
     """
@@ -246,8 +248,8 @@ def detect(docs: DataFrame) -> DataFrame:
                 rows = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     found = find(text or "", automaton)
-                    rows.append((doc, *(len(found[k]) for k in BASE), hashlib.sha256(_listed(found, BASE).encode()).hexdigest(), _listed(found, KINDS)))
-                kinds = [pa.int64()] * 5 + [pa.string()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                    rows.append((doc, *(len(found[k]) for k in BASE), hashlib.sha256(_listed(found, BASE).encode()).hexdigest(), _listed(found, KINDS), sum(len(found[k]) for k in PRIVATE)))
+                kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_private"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_private long")

@@ -80,6 +80,14 @@ coalesce(string_agg(CAST(a AS BIGINT) || ':' || CAST(a + length(t) + 10 AS BIGIN
 FROM y GROUP BY conv_id, speaker, part
 """
 
+#: Base32 of the digest's hexadecimal digits: ten of them, 40 bits, are eight characters of five bits.
+OP5_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+g AS (SELECT *, [CAST('0x' || substr(h, 10 * i + 1, 10) AS BIGINT) FOR i IN range(4)] AS v FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v[j // 8 + 1] >> (35 - 5 * (j % 8))) & 31 AS BIGINT) + 1, 1) FOR j IN range(32)], '') AS payload_digest,
+CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to FROM g
+"""
+
 OP6_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 g AS (SELECT r, doc_id, i, substring(h, 2 * i + 1, 100) AS s FROM d, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS u(i)),
@@ -101,4 +109,4 @@ FROM l LEFT JOIN gone ON l.k = gone.k GROUP BY r
 """
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op4_chat_rotation": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_chat_rotation": OP4_SQL, "op5_warc": OP5_SQL, "op6_suffix_dedup": OP6_SQL, "op10_line_dedup": OP10_SQL}
