@@ -53,16 +53,20 @@ def normalised_difference(a: Column, b: Column, mask: Column, treatment: str = "
 
 
 def candidate(pre: Column, change: Column, baseline: float = 0.30, threshold: float = 0.30) -> Column:
-    return F.coalesce((pre > f32(baseline)) & (change >= f32(threshold)), F.lit(False))
+    """Both finite, baseline strictly above and change at least its threshold, compared as FLOAT."""
+    return F.coalesce(finite(pre) & finite(change) & (pre > f32(baseline)) & (change >= f32(threshold)), F.lit(False))
 
 
 def recovery_ratio(pre: Column, post: Column, now: Column) -> Column:
+    """Share of the loss that came back, unbounded; null unless all three are finite and the loss is positive."""
     a, b, c = (x.cast("double") for x in (pre, post, now))
-    return F.when(a - b > 0, ((c - b) / (a - b)).cast("float"))
+    return F.when(finite(a) & finite(b) & finite(c) & (a - b > 0), ((c - b) / (a - b)).cast("float"))
 
 
 def coverage_class(fraction: Column) -> Column:
-    return F.when(fraction >= GOOD_COVERAGE, "GOOD").when(fraction >= USABLE_COVERAGE, "USABLE_WITH_COVERAGE_FLAG").otherwise("POOR")
+    """A fraction that is null, NaN or infinite is an error."""
+    wrong = F.raise_error(F.lit("a valid fraction must be finite")).cast("string")
+    return F.when(~F.coalesce(finite(fraction), F.lit(False)), wrong).when(fraction >= GOOD_COVERAGE, "GOOD").when(fraction >= USABLE_COVERAGE, "USABLE_WITH_COVERAGE_FLAG").otherwise("POOR")
 
 
 def hectares(pixels: Column) -> Column:

@@ -46,7 +46,8 @@ def object_id(n: Column) -> Column:
 
 
 def byte_range(header: Column, size: Column) -> Column:
-    """struct(start, end) inclusive of a `bytes=` range over `size` bytes; null where it can't be satisfied."""
+    """struct(start, end) inclusive of a `bytes=` range over `size` bytes, white space around it left out; null where it can't be satisfied."""
+    header = F.trim(header)
     first = F.nullif(F.regexp_extract(header, r"^bytes=(\d*)-(\d*)$", 1), F.lit("")).try_cast("long")
     last = F.nullif(F.regexp_extract(header, r"^bytes=(\d*)-(\d*)$", 2), F.lit("")).try_cast("long")
     start = F.when(first.isNotNull(), first).otherwise(F.greatest(size - last, F.lit(0)))

@@ -46,10 +46,12 @@ def referenced_paths(json: Column) -> Column:
 
 
 def asset_url(url: Column) -> Column:
-    """Trimmed https address with single slashes; null with a query, fragment, backslash or parent segment."""
+    """Trimmed https address with single slashes; null with a query, fragment, backslash, credentials or a segment `.` or `..`, escaped or not."""
     s = F.trim(url)
     body = F.regexp_replace(F.substring(s, 9, 1 << 30), "/+", "/")
-    bad = s.rlike(r"[?#\\]") | s.rlike(r"(^|/)\.\.(/|$)") | ~s.startswith("https://")
+    bad = ~s.startswith("https://") | s.rlike("^https://[^/]*@")
+    for x in (s, F.try_url_decode(s)):
+        bad = bad | F.coalesce(x.rlike(r"[?#\\]") | x.rlike(r"/\.{1,2}(/|$)"), F.lit(True))
     return F.when(~bad, F.concat(F.lit("https://"), body))
 
 

@@ -7,8 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
-from .graph import connected_components, cut
-
+from .graph import connected_components, cut, partitions
+
+# The sweeps of the sensitivity runs, the last in hectares.
+CHANGE_SWEEP, BASELINE_SWEEP, PATCH_SWEEP = (0.25, 0.30, 0.35, 0.40), (0.20, 0.30, 0.40), (1.0, 2.0, 5.0, 10.0)
+#: What observation_flags tells of an observation; the first 16 are counted by date.
+FLAGS = (
+    "scl_valid", "source_valid_nir", "source_valid_red", "source_valid_swir2", "scl_source_valid_nir", "scl_source_valid_red", "scl_source_valid_swir2", "negative_nir", "negative_red", "negative_swir2",
+    "nbr_before_denominator", "nbr_denominator_failure", "nbr_valid", "ndvi_before_denominator", "ndvi_denominator_failure", "ndvi_valid", "nbr_valid_without_negative_rejection", "ndvi_valid_without_negative_rejection",
+)
 FORWARD = {4: ((0, 1), (1, 0)), 8: ((0, 1), (1, 0), (1, 1), (1, -1))}
 
 
@@ -19,8 +26,9 @@ def first_valid(rows: DataFrame, by: list[str], values: list[str], order: list[s
 
 
 def temporal_median(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
-    """Exact medians as FLOAT with counts; nulls don't count, all null gives null and 0."""
-    return rows.groupBy(*by).agg(*[F.median(v).cast("float").alias(v) for v in values], *[F.count(v).alias(f"{v}_count") for v in values])
+    """Exact medians as FLOAT with counts; nulls and NaN don't count, none at all gives null and 0."""
+    known = {v: F.nanvl(F.col(v), F.lit(None).cast("float")) for v in values}
+    return rows.groupBy(*by).agg(*[F.median(x).cast("float").alias(v) for v, x in known.items()], *[F.count(x).alias(f"{v}_count") for v, x in known.items()])
 
 
 def distribution(rows: DataFrame, value: Column, at: dict[str, float], by: list[str] | None = None) -> DataFrame:
@@ -30,6 +38,46 @@ def distribution(rows: DataFrame, value: Column, at: dict[str, float], by: list[
     return out.select(*(by or []), "n", "min", "max", "mean", "std", *[F.col("_p")[i].alias(k) for i, k in enumerate(at)])
 
 
+def observation_flags(nir: Column, red: Column, swir2: Column, mask: Column) -> dict[str, Column]:
+    """The FLAGS of one observation, as it is judged and as it would be with negative reflectance kept."""
+    bands = {"nir": nir, "red": red, "swir2": swir2}
+    nbr, ndvi = C.validity(nir, swir2, mask), C.validity(nir, red, mask)
+    out = {"scl_valid": mask} | {f"source_valid_{k}": C.finite(x) for k, x in bands.items()} | {f"scl_source_valid_{k}": mask & C.finite(x) for k, x in bands.items()}
+    out |= {"negative_nir": nbr["negative_rejected"] | ndvi["negative_rejected"], "negative_red": ndvi["negative_rejected"], "negative_swir2": nbr["negative_rejected"]}
+    for name, v, kept in (("nbr", nbr, C.validity(nir, swir2, mask, "preserve")), ("ndvi", ndvi, C.validity(nir, red, mask, "preserve"))):
+        out |= {f"{name}_before_denominator": v["before_denominator"], f"{name}_denominator_failure": v["denominator_failure"], f"{name}_valid": v["final_valid"], f"{name}_valid_without_negative_rejection": kept["final_valid"]}
+    return {k: out[k] for k in FLAGS}
+
+
+def missing_reason(valid: Column, masked: Column, source: Column, before: Column, failed: Column) -> Column:
+    """0 for a valid cell, else the first that holds: 1 never clear, 2 never a source value, 3 always rejected as negative, 4 no index, 5 other."""
+    return F.when(valid, 0).when(~masked, 1).when(~source, 2).when(~before & ~failed, 3).when(before, 4).otherwise(5)
+
+
+def denominators(cells: DataFrame, baseline: float = 0.30, least: float = 0.30) -> DataFrame:
+    """One row on pre - post of retained cells (pre, post): counts, percentiles and what lies at the threshold."""
+    pre, post = F.col("pre").cast("double"), F.col("post").cast("double")
+    pair = C.finite(pre) & C.finite(post)
+    d = F.when(pair, pre - post)
+    p = F.percentile(d, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
+    out = cells.agg(
+        F.count("*").alias("retained"), F.count(d).alias("pairs"), F.count_if(~F.coalesce(pair, F.lit(False))).alias("invalid_pairs"), F.count_if(pair & (pre <= baseline)).alias("baseline_violations"),
+        F.min(d).alias("min"), p.alias("_p"), F.max(d).alias("max"), F.count_if(d <= 0).alias("non_positive"), F.count_if(d < least).alias("below"), F.count_if(d >= least).alias("at_least"),
+        F.count_if(d == least).alias("exactly"), F.count_if((d < least) & (d >= least - 1e-7)).alias("just_below"), F.count_if(F.abs(d - least) <= 1e-6).alias("close"),
+    )
+    return out.withColumns({k: F.col("_p")[i] for i, k in enumerate(("p01", "median", "p99"))}).drop("_p")
+
+
+def checked_denominators(cells: DataFrame, baseline: float = 0.30, least: float = 0.30) -> DataFrame:
+    """denominators(), with an error for what the rule of retained cells excludes: an invalid pair, then a low baseline, then a small loss."""
+    out = denominators(cells, baseline, least)
+    wrong = (
+        F.when(F.col("invalid_pairs") > 0, F.lit("retained cells have invalid pairs")).when(F.col("baseline_violations") > 0, F.lit("retained cells have too low a baseline"))
+        .when(F.col("below") > 0, F.concat(F.col("below").cast("string"), F.lit(f" retained cells lose less than {least:g}")))
+    )
+    return out.withColumn("retained", F.when(wrong.isNull(), F.col("retained")).otherwise(F.raise_error(wrong).cast("long")))
+
+
 def components(cells: DataFrame, width: int, connectivity: int = 8, extra: list[str] | None = None) -> DataFrame:
     """cells (r, c) with root, the smallest r * width + c of their component; `extra` columns keep runs apart.
 
@@ -61,9 +109,19 @@ def object_statistics(labelled: DataFrame, by: list[str]) -> DataFrame:
 
 
 def relabel(objects: DataFrame) -> DataFrame:
-    """Stable labels from 1 by area, largest first, centroid and root. The objects are one row a component."""
-    order = W.orderBy(F.desc("pixel_count"), F.round("centroid_x", 9), F.round("centroid_y", 9), "root")
-    return objects.withColumn("label", F.row_number().over(order))
+    """Stable labels from 1 by area, largest first, centroid and root. The objects are one row a component.
+
+    They are range-partitioned in that order and written; a label is the place in its partition and the count of the
+    partitions before, of which there is one row each, so no task sorts all objects.
+    """
+    parts = partitions(objects.sparkSession)
+    order = [F.desc("pixel_count"), F.round("centroid_x", 9), F.round("centroid_y", 9), F.asc("root")]
+    dealt = objects.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = cut(dealt.withColumns({"_at": F.monotonically_increasing_id(), "_p": F.spark_partition_id()}), "objects")
+    counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = counts.select("_p", "_first", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = dealt.join(F.broadcast(before), "_p")
+    return out.withColumn("label", (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int")).drop("_at", "_p", "_first", "_before")
 
 
 def boundary_touch(labelled: DataFrame, by: list[str], aoi: Column, width: int, height: int) -> DataFrame:

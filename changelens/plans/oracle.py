@@ -49,17 +49,38 @@ CTE = {
 
 
 def _oy(by: str) -> str:
-    share = lambda x: f"coalesce(count(*) FILTER (recovery::DOUBLE {x}) / nullif(count(recovery), 0)::DOUBLE, 0)"
-    inner = f"""SELECT {by}, count(*) AS total, count(nbr) AS nbr_count, count(nbr) / count(*)::DOUBLE AS nbr_fraction, count(recovery) AS recovery_count, count(recovery) / count(*)::DOUBLE AS recovery_fraction, median(nbr::DOUBLE) AS nbr_median, avg(recovery::DOUBLE) AS recovery_mean, median(recovery::DOUBLE) AS recovery_median, quantile_cont(recovery::DOUBLE, 0.1) AS recovery_p10, quantile_cont(recovery::DOUBLE, 0.9) AS recovery_p90, median(ndvi::DOUBLE) AS ndvi_median, {share('< 0')} AS f_lt_0, {share('>= 0.5')} AS f_ge_050, {share('>= 0.8')} AS f_ge_080, {share('>= 1')} AS f_ge_100, {share('> 1')} AS f_gt_100 FROM oc GROUP BY {by}"""
-    return f"SELECT *, CASE WHEN recovery_count = 0 THEN 'POOR' WHEN nbr_fraction >= 0.95 THEN 'GOOD' WHEN nbr_fraction >= 0.8 THEN 'USABLE_WITH_COVERAGE_FLAG' ELSE 'POOR' END AS status FROM ({inner})"
+    share = lambda x: f"count(*) FILTER (recovery::DOUBLE {x}) / nullif(count(recovery), 0)::DOUBLE"
+    three = lambda x: ", ".join(f"quantile_cont({x}::DOUBLE, {q}) AS {x}_{k}" for k, q in (("p10", 0.1), ("median", 0.5), ("p90", 0.9)))
+    inner = f"""SELECT {by}, count(*) AS total, count(*) * 0.04::DOUBLE AS area_ha, count(nbr) * 0.04::DOUBLE AS nbr_valid_ha, (count(*) - count(nbr)) * 0.04::DOUBLE AS nbr_missing_ha, count(nbr) AS nbr_count, count(nbr) / count(*)::DOUBLE AS nbr_fraction, count(recovery) AS recovery_count, count(recovery) / count(*)::DOUBLE AS recovery_fraction, count(ndvi) AS ndvi_count, count(ndvi) / count(*)::DOUBLE AS ndvi_fraction, avg(nbr::DOUBLE) AS nbr_mean, avg(recovery::DOUBLE) AS recovery_mean, min(recovery::DOUBLE) AS recovery_min, max(recovery::DOUBLE) AS recovery_max, {three('nbr')}, {three('recovery')}, {three('ndvi')}, {share('< 0')} AS f_lt_0, {share('>= 0')} AS f_ge_0, {share('>= 0.5')} AS f_ge_050, {share('>= 0.8')} AS f_ge_080, {share('>= 1')} AS f_ge_100, {share('> 1')} AS f_gt_100 FROM oc GROUP BY {by}"""
+    return f"SELECT *, status <> 'POOR' AS reporting_recommended FROM (SELECT *, CASE WHEN recovery_count = 0 THEN 'POOR' WHEN nbr_fraction >= 0.95 THEN 'GOOD' WHEN nbr_fraction >= 0.8 THEN 'USABLE_WITH_COVERAGE_FLAG' ELSE 'POOR' END AS status FROM ({inner}))"
 
 
 CTE["oy"] = _oy("label, y")
 CTE["ly"] = _oy("y")
 _ok, _fin = VALID, f"{VALID} AND nir >= 0 AND swir2 >= 0 AND nir + swir2 <> 0"
 _before = f"({VALID} AND nir >= 0 AND swir2 >= 0)"
-CTE["flags"] = f"SELECT y, r, c, bool_or({_ok}) AS scl_ok, bool_or({_ok}) AS source_ok, bool_or({_before}) AS before_ok, bool_or({_before} AND nir + swir2 = 0) AS failed, bool_or({_fin}) AS valid FROM obs GROUP BY y, r, c"
-CTE["runs"] = "SELECT * FROM (VALUES (0, 'dnbr', 0.3, 0.2, 3), (1, 'dnbr', 0.3, 0.25, 3), (2, 'dnbr', 0.3, 0.3, 3), (3, 'dnbr', 0.3, 0.35, 3), (4, 'baseline', 0.2, 0.3, 3), (5, 'baseline', 0.3, 0.3, 3), (6, 'baseline', 0.4, 0.3, 3), (7, 'patch', 0.3, 0.3, 1), (8, 'patch', 0.3, 0.3, 2), (9, 'patch', 0.3, 0.3, 3), (10, 'patch', 0.3, 0.3, 5)) t(run, what, baseline, threshold, least)"
+_src = {k: f"{k} IS NOT NULL" for k in ("nir", "red", "swir2")}
+
+
+def _stage(b: str, stage: str) -> str:
+    before = f"{VALID} AND nir >= 0 AND {b} >= 0"
+    return {"before": before, "failed": f"{before} AND nir + {b} = 0", "valid": f"{before} AND nir + {b} <> 0", "negative": f"{VALID} AND (nir < 0 OR {b} < 0)", "kept": f"{VALID} AND nir + {b} <> 0"}[stage]
+
+
+_FLAGS = {"scl_valid": VALID} | {f"source_valid_{k}": x for k, x in _src.items()} | {f"scl_source_valid_{k}": f"{VALID} AND {x}" for k, x in _src.items()}
+_FLAGS |= {"negative_nir": f"{VALID} AND (nir < 0 OR swir2 < 0 OR red < 0)", "negative_red": _stage("red", "negative"), "negative_swir2": _stage("swir2", "negative")}
+for _n, _b in (("nbr", "swir2"), ("ndvi", "red")):
+    _FLAGS |= {f"{_n}_before_denominator": _stage(_b, "before"), f"{_n}_denominator_failure": _stage(_b, "failed"), f"{_n}_valid": _stage(_b, "valid"), f"{_n}_valid_without_negative_rejection": _stage(_b, "kept")}
+_BY_DATE = [k for k in _FLAGS if "without" not in k]
+_INSIDE = "r >= 1 AND r < w - 1 AND c >= 1 AND c < w - 1"
+
+
+def _united(by: str) -> str:
+    return f"SELECT {by}, r, c, " + ", ".join(f"bool_or({x}) AS {k}" for k, x in _FLAGS.items()) + f" FROM obs, w WHERE {_INSIDE} GROUP BY {by}, r, c"
+
+
+CTE["yflags"], CTE["dflags"] = _united("y"), _united("d")
+CTE["runs"] = "SELECT * FROM (VALUES (0, 'dnbr', 0.3, 0.25, 3), (1, 'dnbr', 0.3, 0.3, 3), (2, 'dnbr', 0.3, 0.35, 3), (3, 'dnbr', 0.3, 0.4, 3), (4, 'baseline', 0.2, 0.3, 3), (5, 'baseline', 0.3, 0.3, 3), (6, 'baseline', 0.4, 0.3, 3), (7, 'patch', 0.3, 0.3, 1), (8, 'patch', 0.3, 0.3, 2), (9, 'patch', 0.3, 0.3, 3), (10, 'patch', 0.3, 0.3, 5)) t(run, what, baseline, threshold, least)"
 CTE["rc"] = "SELECT run, r, c FROM pairs, runs WHERE pre > CAST(baseline AS FLOAT) AND dnbr >= CAST(threshold AS FLOAT)"
 CTE |= _cc("rc", "s", 8, "run")
 
@@ -71,7 +92,10 @@ def _r(*names: str) -> str:
 
 
 _DISP = "CAST(round_even(least(greatest((greatest({0}::DOUBLE, 0) - 0.01::DOUBLE) / ({1}::DOUBLE - 0.01::DOUBLE), 0), 1) * 255, 0) AS BIGINT)"
-_OY = "label, y, total, nbr_count, recovery_count, status, " + _r("nbr_fraction", "recovery_fraction", "nbr_median", "recovery_mean", "recovery_median", "recovery_p10", "recovery_p90", "ndvi_median", "f_lt_0", "f_ge_050", "f_ge_080", "f_ge_100", "f_gt_100")
+_OY = "label, y, total, nbr_count, recovery_count, ndvi_count, status, reporting_recommended, " + _r(
+    "area_ha", "nbr_valid_ha", "nbr_missing_ha", "nbr_fraction", "recovery_fraction", "ndvi_fraction", "nbr_mean", "nbr_p10", "nbr_median", "nbr_p90", "recovery_mean", "recovery_min", "recovery_max", "recovery_p10", "recovery_median", "recovery_p90",
+    "ndvi_p10", "ndvi_median", "ndvi_p90", "f_lt_0", "f_ge_0", "f_ge_050", "f_ge_080", "f_ge_100", "f_gt_100",
+)
 
 
 def _ramp(stops, i):
@@ -96,7 +120,7 @@ def _dist(src: str, at: dict[str, float]) -> str:
 
 FINAL = {
     "nbr_P3": f"SELECT item, {_r('nbr', 'ndvi')} FROM idx",
-    "validity_stages_P6": f"SELECT item, {_ok} AS source_valid, {_ok} AND (nir < 0 OR swir2 < 0) AS negative_present, {_ok} AND (nir < 0 OR swir2 < 0) AS negative_rejected, {_before} AS before_denominator, {_before} AND nir + swir2 = 0 AS denominator_failure, {_fin} AS final_valid FROM obs",
+    "validity_stages_P6": f"SELECT item, {_ok} AS source_valid, {_ok} AND (nir < 0 OR swir2 < 0) AS negative_present, {_ok} AND (nir < 0 OR swir2 < 0) AS negative_rejected, {_before} AS before_denominator, {_before} AS physical_valid, {_before} AND nir + swir2 = 0 AS denominator_failure, {_fin} AS final_valid, round(nir::DOUBLE, 6) AS first_used, round(swir2::DOUBLE, 6) AS second_used, round((nir + swir2)::DOUBLE, 6) AS denominator FROM obs",
     "treatments_P5": "SELECT item, " + ", ".join(f"round(({_nd('nir', 'swir2', m)})::DOUBLE, 6) AS {m.replace('-', '_')}" for m in ("reject", "preserve", "clamp-zero")) + " FROM obs",
     "scale_offset_P1": "SELECT l_orderkey, l_linenumber, round(CAST(l_quantity * (CASE WHEN l_linenumber % 3 <> 0 THEN 0.0001::DOUBLE ELSE 1 END) + (CASE WHEN l_linenumber % 2 = 0 THEN -0.1::DOUBLE ELSE 0 END) AS FLOAT)::DOUBLE, 6) AS value FROM lineitem",
     "scl_filter_F1": f"SELECT y, scl, count(*) AS n FROM obs WHERE {_ok} GROUP BY y, scl",
@@ -106,8 +130,8 @@ FINAL = {
     "area_ge_A8": "SELECT count(*) FILTER (dnbr >= CAST(0.2 AS FLOAT)) AS pixels, round(count(*) FILTER (dnbr >= CAST(0.2 AS FLOAT)) * 0.04::DOUBLE, 6) AS hectares FROM pairs",
     "threshold_grid_J14": "SELECT b::DOUBLE AS baseline, t::DOUBLE AS threshold, count(*) FILTER (pre > CAST(b AS FLOAT) AND dnbr >= CAST(t AS FLOAT)) AS pixels FROM pairs, (VALUES (0.2), (0.3), (0.4)) x(b), (VALUES (0.1), (0.2), (0.3)) z(t) GROUP BY b, t",
     "distribution_A5": _dist("ann", {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}),
-    "wide_distribution_A6": _dist("ann_p", {"p001": 0.001, "p01": 0.01, "median": 0.5, "p99": 0.99, "p999": 0.999}),
-    "valid_count_dist_A7": "SELECT min(n) AS min, round(median(n)::DOUBLE, 6) AS median, max(n) AS max, count(*) FILTER (n = 0) AS zero_count, count(*) AS cells FROM (SELECT coalesce(nbr_count, 0) AS n FROM (SELECT i // w AS r, i % w AS c, w FROM w, unnest(range(w * w)) AS u(i)) g LEFT JOIN (SELECT * FROM ann WHERE y = 1995) a USING (r, c) WHERE r >= 1 AND r < w - 1 AND c >= 1 AND c < w - 1)",
+    "wide_distribution_A6": _dist("ann_p", {"p001": 0.001, "p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "p999": 0.999}),
+    "valid_count_dist_A7": "SELECT y, min(n) AS min, round(quantile_cont(n, 0.25), 6) AS p25, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.75), 6) AS p75, max(n) AS max, count(*) FILTER (n = 0) AS zero_count, count(*) AS cells FROM (SELECT yy.y, coalesce(nbr_count, 0) AS n FROM (SELECT i // w AS r, i % w AS c, w FROM w, unnest(range(w * w)) AS u(i)) g CROSS JOIN (SELECT DISTINCT y FROM ann) yy LEFT JOIN ann a ON a.y = yy.y AND a.r = g.r AND a.c = g.c WHERE g.r >= 1 AND g.r < w - 1 AND g.c >= 1 AND g.c < w - 1) GROUP BY y",
     "candidate_F2": f"SELECT r, c, {_r('pre', 'post', 'dnbr')} FROM cand",
     "components_8_W6": "SELECT r, c, root FROM comp8",
     "components_4_W6": "SELECT r, c, root FROM comp4",
@@ -116,18 +140,18 @@ FINAL = {
     "relabel_W1": "SELECT root, label FROM lab",
     "boundary_touch_F9": "SELECT root, bool_or(r < 2 OR c < 2 OR r >= w - 2 OR c >= w - 2) AS touches_boundary FROM comp8, w GROUP BY root",
     "component_summary_A38": "SELECT count(*) AS raw, count(*) FILTER (n >= 3) AS retained, count(*) FILTER (n < 3) AS removed, CAST(sum(n) AS BIGINT) AS raw_pixels, CAST(sum(n) FILTER (n >= 3) AS BIGINT) AS retained_pixels, max(n) AS largest, round(median(n) FILTER (n >= 3)::DOUBLE, 6) AS median_size FROM (SELECT root, count(*) AS n FROM comp8 GROUP BY root)",
-    "sensitivity_A31": "SELECT run::BIGINT AS run, what, count(n) AS raw, count(*) FILTER (n >= least) AS retained, CAST(coalesce(sum(n) FILTER (n >= least), 0) AS BIGINT) AS pixels FROM runs LEFT JOIN (SELECT run, root, count(*) AS n FROM comps GROUP BY run, root) USING (run) GROUP BY run, what",
+    "sensitivity_A31": "SELECT run::BIGINT AS run, what, count(n) AS raw, CAST(coalesce(sum(n), 0) AS BIGINT) AS raw_pixels, count(*) FILTER (n >= least) AS retained, CAST(coalesce(sum(n) FILTER (n >= least), 0) AS BIGINT) AS pixels, coalesce(max(n) FILTER (n >= least), 0) AS largest, round(coalesce(sum(n) FILTER (n >= least), 0) * 0.04::DOUBLE, 6) AS retained_ha FROM runs LEFT JOIN (SELECT run, root, count(*) AS n FROM comps GROUP BY run, root) USING (run) GROUP BY run, what",
     "recovery_P8": "SELECT label, y, r, c, round(recovery::DOUBLE, 6) + 0 AS recovery FROM oc",
     "object_year_A11": f"SELECT {_OY} FROM oy",
     "landscape_year_A12": f"SELECT {_OY.removeprefix('label, ')} FROM ly",
     "status_by_year_A17": "SELECT y, count(*) FILTER (status = 'GOOD') AS good, count(*) FILTER (status = 'USABLE_WITH_COVERAGE_FLAG') AS usable, count(*) FILTER (status = 'POOR') AS poor, round(median(nbr_fraction), 6) AS median_fraction, round(min(nbr_fraction), 6) AS min_fraction, count(*) FILTER (nbr_count = 0) AS zero_valid FROM oy GROUP BY y",
     "status_matrix_A21": "SELECT label, " + ", ".join(f"CAST(max(CASE status WHEN 'GOOD' THEN 2 WHEN 'POOR' THEN 0 ELSE 1 END) FILTER (y = {y}) AS BIGINT) AS y{y}" for y in range(1995, 2002)) + " FROM oy GROUP BY label",
     "completeness_C1": "SELECT printf('disturbance-%03d', label) AS disturbance_id, y AS year, CASE WHEN nbr_fraction >= 0.95 THEN 'GOOD' WHEN nbr_fraction >= 0.8 THEN 'USABLE_WITH_COVERAGE_FLAG' ELSE 'POOR' END AS category, round(nbr_fraction, 6) AS valid_fraction FROM oy",
-    "denominator_diag_A15": "SELECT count(*) AS n, round(min(x), 6) AS min, round(median(x), 6) AS median, round(max(x), 6) AS max, count(*) FILTER (x <= 0) AS non_positive, count(*) FILTER (x < 0.3::DOUBLE) AS below, count(*) FILTER (x >= 0.3::DOUBLE) AS at_least, count(*) FILTER (abs(x - 0.3::DOUBLE) <= 1e-6) AS close, count(*) FILTER (pre::DOUBLE <= 0.3::DOUBLE) AS baseline_violations FROM (SELECT *, pre::DOUBLE - post::DOUBLE AS x FROM kept)",
-    "union_flags_A4": "SELECT y, " + ", ".join(f"count(*) FILTER ({k}) AS {k}" for k in ("scl_ok", "source_ok", "before_ok", "failed", "valid")) + " FROM flags GROUP BY y",
-    "missingness_A28": "SELECT y, reason, count(*) AS n, round(100 * count(*)::DOUBLE / any_value(t), 6) AS pct FROM (SELECT y, CAST(CASE WHEN valid THEN 0 WHEN NOT scl_ok THEN 1 WHEN NOT source_ok THEN 2 WHEN NOT before_ok AND NOT failed THEN 3 WHEN before_ok THEN 4 ELSE 5 END AS BIGINT) AS reason, count(*) OVER (PARTITION BY y) AS t FROM flags) GROUP BY y, reason",
-    "date_breakdown_A29": f"SELECT strftime(d, '%Y-%m-%d') AS d, count(*) AS cells, count(*) FILTER (ok) AS scl_ok, count(*) FILTER (valid) AS valid FROM (SELECT d, r, c, bool_or({_ok}) AS ok, bool_or({_fin}) AS valid FROM obs GROUP BY d, r, c) GROUP BY d",
-    "rescue_A30": "SELECT y, r, c FROM ann JOIN ann_p USING (y, r, c) WHERE ann.nbr IS NULL AND ann_p.nbr IS NOT NULL",
+    "denominator_diag_A15": "SELECT count(*) AS retained, count(x) AS pairs, count(*) - count(x) AS invalid_pairs, count(*) FILTER (pre::DOUBLE <= 0.3::DOUBLE) AS baseline_violations, round(min(x), 6) AS min, round(quantile_cont(x, 0.01), 6) AS p01, round(median(x), 6) AS median, round(quantile_cont(x, 0.99), 6) AS p99, round(max(x), 6) AS max, count(*) FILTER (x <= 0) AS non_positive, count(*) FILTER (x < 0.3::DOUBLE) AS below, count(*) FILTER (x >= 0.3::DOUBLE) AS at_least, count(*) FILTER (x = 0.3::DOUBLE) AS exactly, count(*) FILTER (x < 0.3::DOUBLE AND x >= 0.3::DOUBLE - 1e-7::DOUBLE) AS just_below, count(*) FILTER (abs(x - 0.3::DOUBLE) <= 1e-6) AS close FROM (SELECT *, pre::DOUBLE - post::DOUBLE AS x FROM kept)",
+    "union_flags_A4": "SELECT y, " + ", ".join(f"count(*) FILTER ({k}) AS {k}" for k in _FLAGS) + " FROM yflags GROUP BY y",
+    "missingness_A28": "SELECT y, reason, count(*) AS n, round(100 * count(*)::DOUBLE / any_value(t), 6) AS pct FROM (SELECT y, CAST(CASE WHEN nbr_valid THEN 0 WHEN NOT scl_valid THEN 1 WHEN NOT (source_valid_nir AND source_valid_swir2) THEN 2 WHEN NOT nbr_before_denominator AND NOT nbr_denominator_failure THEN 3 WHEN nbr_before_denominator THEN 4 ELSE 5 END AS BIGINT) AS reason, count(*) OVER (PARTITION BY y) AS t FROM yflags) GROUP BY y, reason",
+    "date_breakdown_A29": "SELECT strftime(d, '%Y-%m-%d') AS d, any_value((w - 2) * (w - 2)) AS aoi, " + ", ".join(f"count(*) FILTER ({k}) AS {k}, round(100 * count(*) FILTER ({k}) / any_value((w - 2) * (w - 2))::DOUBLE, 6) AS {k}_pct" for k in _BY_DATE) + " FROM dflags, w GROUP BY d",
+    "rescue_A30": f"SELECT y, valid, gained, round(100 * gained / total::DOUBLE, 6) AS pct_aoi, round(100 * gained / nullif(total - valid, 0)::DOUBLE, 6) AS pct_missing, total - valid - gained AS remaining FROM (SELECT y, count(*) FILTER (nbr_valid) AS valid, count(*) FILTER (nbr_valid_without_negative_rejection AND NOT nbr_valid) AS gained, any_value((w - 2) * (w - 2)) AS total FROM yflags, w GROUP BY y)",
     "variant_difference_A23": f"SELECT y, count(a) AS left_valid, count(b) AS right_valid, count(x) AS overlap, count(*) FILTER (a IS NULL AND b IS NOT NULL) AS gained, count(*) FILTER (a IS NOT NULL AND b IS NULL) AS lost, count(*) FILTER (x > 1e-6) AS changed, round(avg(x), 6) AS mean_abs, round(median(x), 6) AS median_abs, round(quantile_cont(x, 0.95), 6) AS p95_abs, round(max(x), 6) AS max_abs FROM (SELECT y, a, b, abs((b - a)::DOUBLE) AS x FROM (SELECT y, {_nd('nir', 'swir2', 'preserve')} AS a, {_nd('nir', 'swir2', 'clamp-zero')} AS b FROM obs)) GROUP BY y",
     "extremes_F12": "SELECT y, count(*) FILTER (nbr < -1) AS lt_m1, count(*) FILTER (nbr > 1) AS gt_1, " + ", ".join(f"count(*) FILTER (abs(nbr) > {k}) AS abs_gt_{k}" for k in (1, 2, 5, 10)) + " FROM idx_p GROUP BY y",
     "treatment_evidence_A25": f"SELECT y, count(*) AS n, count(*) FILTER (nir < 0 AND swir2 < 0) AS both_negative, count(*) FILTER (nir >= 0 AND swir2 < 0) AS second_negative, " + ", ".join(f"count(*) FILTER (abs(nir + swir2) < CAST({t} AS FLOAT)) AS near_{i}" for i, t in enumerate((0.001, 0.01, 0.05, 0.1))) + f", round(min(swir2)::DOUBLE, 6) AS min_b, round(max(swir2)::DOUBLE, 6) AS max_b FROM obs WHERE {_ok} GROUP BY y",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import ceil, sqrt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
@@ -13,6 +13,8 @@ from ..functions import metadata as M
 from ..operators import cells as O
 
 PRE, POST, LEAST = 1995, 1996, 3
+#: Hectares of the patch sweep on this small grid; the operator's own are O.PATCH_SWEEP.
+PATCH_SWEEP = (0.04, 0.08, 0.12, 0.2)
 YEARS = tuple(range(1995, 2002))
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -83,7 +85,9 @@ def objects(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def object_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Every object cell in every year, observed or not."""
     cells, _ = objects(spark, sf)
-    years = cells.select("label", "r", "c", "pre", "post", F.explode(F.array(*map(F.lit, YEARS))).alias("y"))
+    # The years of the observations, of which there are few whatever the number of rows.
+    seen = [r["y"] for r in table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("y")).distinct().orderBy("y").collect()]
+    years = cells.select("label", "r", "c", "pre", "post", F.explode(F.array(*map(F.lit, seen))).alias("y"))
     now = annual(spark, sf).select("y", "r", "c", "nbr", "ndvi")
     out = years.join(now, ["y", "r", "c"], "left")
     return out.withColumn("recovery", C.recovery_ratio(F.col("pre"), F.col("post"), F.col("nbr")))
@@ -92,14 +96,18 @@ def object_cells(spark: SparkSession, sf: str) -> DataFrame:
 def object_years(spark: SparkSession, sf: str, by: tuple[str, ...] = ("label", "y")) -> DataFrame:
     v = F.col("recovery").cast("double")
     n, rec = F.count("nbr"), F.count("recovery")
-    p = lambda x, q: F.percentile(F.col(x).cast("double"), F.lit(q))
-    share = lambda c: F.coalesce(F.try_divide(F.count_if(c).cast("double"), rec), F.lit(0.0))
+    p = lambda x: F.percentile(F.col(x).cast("double"), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    share = lambda c: F.try_divide(F.count_if(c).cast("double"), rec)
+    total, seen = F.count("*"), F.count("ndvi")
     out = object_cells(spark, sf).groupBy(*by).agg(
-        F.count("*").alias("total"), n.alias("nbr_count"), (n / F.count("*")).alias("nbr_fraction"), rec.alias("recovery_count"), (rec / F.count("*")).alias("recovery_fraction"), F.median("nbr").alias("nbr_median"),
-        F.avg(v).alias("recovery_mean"), F.median(v).alias("recovery_median"), p("recovery", 0.1).alias("recovery_p10"), p("recovery", 0.9).alias("recovery_p90"), F.median("ndvi").alias("ndvi_median"),
-        share(v < 0).alias("f_lt_0"), share(v >= 0.5).alias("f_ge_050"), share(v >= 0.8).alias("f_ge_080"), share(v >= 1).alias("f_ge_100"), share(v > 1).alias("f_gt_100"),
+        total.alias("total"), n.alias("nbr_count"), (n / total).alias("nbr_fraction"), rec.alias("recovery_count"), (rec / total).alias("recovery_fraction"), seen.alias("ndvi_count"), (seen / total).alias("ndvi_fraction"),
+        F.avg(F.col("nbr").cast("double")).alias("nbr_mean"), p("nbr").alias("_nbr"), F.avg(v).alias("recovery_mean"), F.min(v).alias("recovery_min"), F.max(v).alias("recovery_max"), p("recovery").alias("_recovery"), p("ndvi").alias("_ndvi"),
+        share(v < 0).alias("f_lt_0"), share(v >= 0).alias("f_ge_0"), share(v >= 0.5).alias("f_ge_050"), share(v >= 0.8).alias("f_ge_080"), share(v >= 1).alias("f_ge_100"), share(v > 1).alias("f_gt_100"),
     )
-    return out.withColumn("status", F.when(F.col("recovery_count") == 0, "POOR").otherwise(C.coverage_class(F.col("nbr_fraction"))))
+    out = out.withColumns({f"{x}_{q}": F.col(f"_{x}")[i] for x in ("nbr", "recovery", "ndvi") for i, q in enumerate(("p10", "median", "p90"))}).drop("_nbr", "_recovery", "_ndvi")
+    out = out.withColumns({"area_ha": C.hectares(F.col("total")), "nbr_valid_ha": C.hectares(F.col("nbr_count")), "nbr_missing_ha": C.hectares(F.col("total") - F.col("nbr_count"))})
+    out = out.withColumn("status", F.when(F.col("recovery_count") == 0, "POOR").otherwise(C.coverage_class(F.col("nbr_fraction"))))
+    return out.withColumn("reporting_recommended", F.col("status") != "POOR")
 
 
 @query
@@ -110,7 +118,9 @@ def nbr_P3(spark, sf):
 @query
 def validity_stages_P6(spark, sf):
     v = C.validity(F.col("nir"), F.col("swir2"), C.scl_valid(F.col("scl")))
-    return obs(spark, sf).select("item", *[v[k].alias(k) for k in ("source_valid", "negative_present", "negative_rejected", "before_denominator", "denominator_failure", "final_valid")])
+    flags = ("source_valid", "negative_present", "negative_rejected", "before_denominator", "denominator_failure", "final_valid")
+    used = {k: r6(v[k]) for k in ("first_used", "second_used")} | {"denominator": r6(v["first_used"] + v["second_used"])}
+    return obs(spark, sf).select("item", *[v[k].alias(k) for k in flags], v["before_denominator"].alias("physical_valid"), *[x.alias(k) for k, x in used.items()])
 
 
 @query
@@ -166,7 +176,7 @@ def distribution_A5(spark, sf):
 
 @query
 def wide_distribution_A6(spark, sf):
-    return rounded(O.distribution(annual(spark, sf, "preserve"), F.col("nbr"), {"p001": 0.001, "p01": 0.01, "median": 0.5, "p99": 0.99, "p999": 0.999}, ["y"]))
+    return rounded(O.distribution(annual(spark, sf, "preserve"), F.col("nbr"), {"p001": 0.001, "p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "p999": 0.999}, ["y"]))
 
 
 @query
@@ -174,8 +184,11 @@ def valid_count_dist_A7(spark, sf):
     w = width(spark, sf)
     cells = spark.range(w * w).select(F.expr(f"id div {w}").alias("r"), (F.col("id") % w).alias("c")).filter(aoi(w)(F.col("r"), F.col("c")))
     n = F.coalesce(F.col("nbr_count"), F.lit(0))
-    one = annual(spark, sf).filter(F.col("y") == PRE)
-    return rounded(cells.join(one, ["r", "c"], "left").agg(F.min(n).alias("min"), F.median(n).alias("median"), F.max(n).alias("max"), F.count_if(n == 0).alias("zero_count"), F.count("*").alias("cells")))
+    counts = annual(spark, sf).select("y", "r", "c", "nbr_count")
+    every = cells.join(F.broadcast(counts.select("y").distinct()))
+    p = F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = every.join(counts, ["y", "r", "c"], "left").groupBy("y").agg(F.min(n).alias("min"), p.alias("p"), F.max(n).alias("max"), F.count_if(n == 0).alias("zero_count"), F.count("*").alias("cells"))
+    return rounded(out.select("y", "min", *[F.col("p")[i].alias(k) for i, k in enumerate(("p25", "median", "p75"))], "max", "zero_count", "cells"))
 
 
 @query
@@ -226,13 +239,15 @@ def component_summary_A38(spark, sf):
 
 @query
 def sensitivity_A31(spark, sf):
-    runs = [("dnbr", 0.3, t, LEAST) for t in (0.2, 0.25, 0.3, 0.35)] + [("baseline", b, 0.3, LEAST) for b in (0.2, 0.3, 0.4)] + [("patch", 0.3, 0.3, p) for p in (1, 2, 3, 5)]
+    runs = [("dnbr", 0.3, t, LEAST) for t in O.CHANGE_SWEEP] + [("baseline", b, 0.3, LEAST) for b in O.BASELINE_SWEEP] + [("patch", 0.3, 0.3, ceil(h / C.PIXEL_HECTARES - 1e-12)) for h in PATCH_SWEEP]
     params = spark.createDataFrame([(i, *x) for i, x in enumerate(runs)], "run int, what string, baseline double, threshold double, least int")
     hit = (F.col("pre") > F.col("baseline").cast("float")) & (F.col("dnbr") >= F.col("threshold").cast("float"))
     cells = pairs(spark, sf).join(F.broadcast(params)).filter(hit).select("run", "least", "r", "c")
     sizes = O.components(cells, width(spark, sf), 8, ["run"]).groupBy("run", "least", "root").agg(F.count("*").alias("n"))
-    done = sizes.groupBy("run").agg(F.count("*").alias("raw"), F.count_if(F.col("n") >= F.col("least")).alias("retained"), F.coalesce(F.sum(F.when(F.col("n") >= F.col("least"), F.col("n"))), F.lit(0)).alias("pixels"))
-    return params.join(done, "run", "left").select(F.col("run").cast("long").alias("run"), "what", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("raw", "retained", "pixels")])
+    big = F.when(F.col("n") >= F.col("least"), F.col("n"))
+    done = sizes.groupBy("run").agg(F.count("*").alias("raw"), F.sum("n").alias("raw_pixels"), F.count(big).alias("retained"), F.sum(big).alias("pixels"), F.max(big).alias("largest"))
+    out = params.join(done, "run", "left").select(F.col("run").cast("long").alias("run"), "what", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("raw", "raw_pixels", "retained", "pixels", "largest")])
+    return out.withColumn("retained_ha", r6(C.hectares(F.col("pixels"))))
 
 
 @query
@@ -270,43 +285,47 @@ def completeness_C1(spark, sf):
 
 @query
 def denominator_diag_A15(spark, sf):
-    d = F.col("pre").cast("double") - F.col("post").cast("double")
     cells, _ = objects(spark, sf)
-    return rounded(cells.agg(F.count("*").alias("n"), F.min(d).alias("min"), F.median(d).alias("median"), F.max(d).alias("max"), F.count_if(d <= 0).alias("non_positive"), F.count_if(d < 0.3).alias("below"), F.count_if(d >= 0.3).alias("at_least"), F.count_if(F.abs(d - 0.3) <= 1e-6).alias("close"), F.count_if(F.col("pre").cast("double") <= 0.3).alias("baseline_violations")))
+    return rounded(O.denominators(cells))
 
 
-def _flags(spark, sf):
-    ok = C.scl_valid(F.col("scl"))
-    v = C.validity(F.col("nir"), F.col("swir2"), ok)
-    flags = {"scl_ok": ok, "source_ok": v["source_valid"], "before_ok": v["before_denominator"], "failed": v["denominator_failure"], "valid": v["final_valid"]}
-    return obs(spark, sf).groupBy("y", "r", "c").agg(*[F.bool_or(x).alias(k) for k, x in flags.items()])
+def flags(spark, sf, by: str) -> DataFrame:
+    """The observation flags of each cell of the area, united over the observations of a year or a date."""
+    united = O.observation_flags(F.col("nir"), F.col("red"), F.col("swir2"), C.scl_valid(F.col("scl")))
+    inside = aoi(width(spark, sf))(F.col("r"), F.col("c"))
+    return obs(spark, sf).filter(inside).groupBy(by, "r", "c").agg(*[F.bool_or(x).alias(k) for k, x in united.items()])
 
 
 @query
 def union_flags_A4(spark, sf):
-    return _flags(spark, sf).groupBy("y").agg(*[F.count_if(k).alias(k) for k in ("scl_ok", "source_ok", "before_ok", "failed", "valid")]).withColumn("y", F.col("y").cast("long"))
+    return flags(spark, sf, "y").groupBy("y").agg(*[F.count_if(k).alias(k) for k in O.FLAGS]).withColumn("y", F.col("y").cast("long"))
 
 
 @query
 def missingness_A28(spark, sf):
-    reason = F.when(F.col("valid"), 0).when(~F.col("scl_ok"), 1).when(~F.col("source_ok"), 2).when(~F.col("before_ok") & ~F.col("failed"), 3).when(F.col("before_ok"), 4).otherwise(5)
-    n = _flags(spark, sf).groupBy(F.col("y").cast("long").alias("y"), reason.cast("long").alias("reason")).agg(F.count("*").alias("n"))
-    total = _flags(spark, sf).groupBy(F.col("y").cast("long").alias("y")).agg(F.count("*").alias("t"))
-    return n.join(total, "y").select("y", "reason", "n", F.round(C.percentage(F.col("n"), F.col("t")), 6).alias("pct"))
+    """Shares by year and reason: the totals are sums over the counts, which are a few rows a year."""
+    reason = O.missing_reason(F.col("nbr_valid"), F.col("scl_valid"), F.col("source_valid_nir") & F.col("source_valid_swir2"), F.col("nbr_before_denominator"), F.col("nbr_denominator_failure"))
+    n = flags(spark, sf, "y").groupBy(F.col("y").cast("long").alias("y"), reason.cast("long").alias("reason")).agg(F.count("*").alias("n"))
+    return n.withColumn("pct", F.round(C.percentage(F.col("n"), F.sum("n").over(Window.partitionBy("y"))), 6))
 
 
 @query
 def date_breakdown_A29(spark, sf):
-    ok = C.scl_valid(F.col("scl"))
-    v = C.validity(F.col("nir"), F.col("swir2"), ok)
-    cells = obs(spark, sf).groupBy("d", "r", "c").agg(F.bool_or(ok).alias("ok"), F.bool_or(v["final_valid"]).alias("valid"))
-    return cells.groupBy(F.date_format("d", "yyyy-MM-dd").alias("d")).agg(F.count("*").alias("cells"), F.count_if("ok").alias("scl_ok"), F.count_if("valid").alias("valid"))
+    total = max(width(spark, sf) - 2, 0) ** 2
+    g = flags(spark, sf, "d").groupBy(F.date_format("d", "yyyy-MM-dd").alias("d")).agg(*[F.count_if(k).alias(k) for k in O.FLAGS[:16]])
+    return g.select("d", F.lit(total).cast("long").alias("aoi"), *O.FLAGS[:16], *[F.round(C.percentage(F.col(k), F.lit(total)), 6).alias(f"{k}_pct") for k in O.FLAGS[:16]])
 
 
 @query
 def rescue_A30(spark, sf):
-    both = annual(spark, sf).select("y", "r", "c", "nbr").join(annual(spark, sf, "preserve").select("y", "r", "c", F.col("nbr").alias("more")), ["y", "r", "c"])
-    return both.filter("nbr is null and more is not null").select(F.col("y").cast("long").alias("y"), "r", "c")
+    """What keeping negative reflectance would add: gained cells a year, their shares and what would still be missing. One pass for both treatments."""
+    ok, total = C.scl_valid(F.col("scl")), max(width(spark, sf) - 2, 0) ** 2
+    now, then = (C.normalised_difference(F.col("nir"), F.col("swir2"), ok, t).isNotNull() for t in ("reject", "preserve"))
+    inside = aoi(width(spark, sf))(F.col("r"), F.col("c"))
+    cells = obs(spark, sf).filter(inside).groupBy("y", "r", "c").agg(F.bool_or(now).alias("now"), F.bool_or(then).alias("then"))
+    n = cells.groupBy(F.col("y").cast("long").alias("y")).agg(F.count_if("now").alias("valid"), F.count_if(F.col("then") & ~F.col("now")).alias("gained"))
+    missing = F.lit(total).cast("long") - F.col("valid")
+    return n.select("y", "valid", "gained", r6(C.percentage(F.col("gained"), F.lit(total))).alias("pct_aoi"), r6(C.percentage(F.col("gained"), missing)).alias("pct_missing"), (missing - F.col("gained")).alias("remaining"))
 
 
 @query
