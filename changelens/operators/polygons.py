@@ -64,3 +64,37 @@ def outlines(cells: DataFrame, label: str = "label") -> DataFrame:
         return pd.DataFrame(rows, columns=[label, "ring", "hole", "area", "points"])
 
     return sides.groupBy(label).applyInPandas(stitch, f"{label} {kind}, ring long, hole boolean, area double, points array<struct<x:double,y:double>>")
+
+
+def _inside(ring: list[list[float]], x: float, y: float, across: bool) -> bool:
+    """Whether the middle of a side lies in a ring of level and upright sides; the ray runs along the axis on which it has a half."""
+    crossed = 0
+    for (x0, y0), (x1, y1) in zip(ring, ring[1:], strict=False):
+        if across and y0 == y1:  # x is a half: go up to level sides above
+            crossed += y0 < y and min(x0, x1) < x < max(x0, x1)
+        elif not across and x0 == x1:
+            crossed += x0 < x and min(y0, y1) < y < max(y0, y1)
+    return crossed % 2 == 1
+
+
+def _polygons(rings: list[tuple[bool, float, list[list[float]]]]) -> list[list[list[list[float]]]]:
+    """Polygons of (hole, area, ring): each hole goes to the smallest outer ring that holds the middle of its first side."""
+    out = sorted(((area, [ring]) for hole, area, ring in rings if not hole), key=lambda p: (p[0], p[1][0]))
+    for ring in sorted(ring for hole, _, ring in rings if hole):
+        (x0, y0), (x1, y1) = ring[0], ring[1]
+        across = y0 == y1
+        x, y = (min(x0, x1) + 0.5, y0) if across else (x0, min(y0, y1) + 0.5)
+        next(p for _, p in out if _inside(p[0], x, y, across)).append(ring)
+    return sorted(p for _, p in out)
+
+
+def multipolygons(cells: DataFrame, label: str = "label") -> DataFrame:
+    """(label, coordinates): the outlines of each label as the coordinates of a MultiPolygon, outer rings with their holes."""
+    kind = dict(cells.dtypes)[label]
+    rows = outlines(cells, label)
+
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rings = [(bool(h), float(a), [[p["x"], p["y"]] for p in ps]) for h, a, ps in zip(pdf["hole"], pdf["area"], pdf["points"], strict=True)]
+        return pd.DataFrame([(key[0], _polygons(rings))], columns=[label, "coordinates"])
+
+    return rows.groupBy(label).applyInPandas(build, f"{label} {kind}, coordinates array<array<array<array<double>>>>")

@@ -211,22 +211,6 @@ def union_U1(spark, sf):
     return a.filter(F.col("y").isin(PRE, POST)).select(F.lit(PRE).cast("long").alias("y"), "r", "c").distinct()
 
 
-_A, _B = oracle._nd("nir", "swir2"), oracle._nd("nir", "swir2", "preserve")
-
-
-@query(f"SELECT pair, count(x) AS overlap, count(*) FILTER (a IS NULL AND b IS NOT NULL) AS gained, count(*) FILTER (a IS NOT NULL AND b IS NULL) AS lost, count(*) FILTER (x > 1e-6) AS changed FROM (SELECT *, abs(CAST(b - a AS FLOAT)::DOUBLE) AS x FROM (SELECT 'reject-preserve' AS pair, {_A} AS a, {_B} AS b FROM obs UNION ALL SELECT 'preserve-reject', {_B}, {_A} FROM obs)) GROUP BY pair")
-def variant_pairs_J18(spark, sf):
-    ok = C.scl_valid(F.col("scl"))
-    v = {m: C.normalised_difference(F.col("nir"), F.col("swir2"), ok, m) for m in ("reject", "preserve")}
-    both = obs(spark, sf).select(F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("pair"), v[a].alias("a"), v[b].alias("b")) for a, b in (("reject", "preserve"), ("preserve", "reject"))])).alias("s")).select("s.*")
-    return O.pairwise_difference(both, "a", "b", ["pair"]).select("pair", "overlap", "gained", "lost", "changed")
-
-
-@query("SELECT y, round(count(nbr) / count(*)::DOUBLE, 6) AS valid_fraction, round(min(nbr::DOUBLE), 6) AS low, round(median(nbr::DOUBLE), 6) AS median, round(max(nbr::DOUBLE), 6) AS high, round(quantile_cont(abs(nbr::DOUBLE), 0.99), 6) AS p99_abs FROM ann GROUP BY y")
-def raster_statistics_A32(spark, sf):
-    v = F.col("nbr").cast("double")
-    out = annual(spark, sf).groupBy("y").agg((F.count(v) / F.count("*")).alias("valid_fraction"), F.min(v).alias("low"), F.median(v).alias("median"), F.max(v).alias("high"), F.percentile(F.abs(v), F.lit(0.99)).alias("p99_abs"))
-    return rounded(out)
 
 
 # Objects
@@ -244,13 +228,6 @@ def zonal_J4(spark, sf):
     return cells.select("label", "r", "c").join(named, "label").select(F.col("label").cast("long").alias("label"), "r", "c", "disturbance_id", "area_ha")
 
 
-@query("SELECT count(*) AS labels, 0::BIGINT AS differing FROM lab")
-def label_integrity_J5(spark, sf):
-    cells, stats = objects(spark, sf)
-    both = stats.select("label", "pixel_count").join(cells.groupBy("label").agg(F.count("*").alias("n")), "label", "full_outer")
-    return both.agg(F.count("*").alias("labels"), F.count_if(~F.col("pixel_count").eqNullSafe(F.col("n"))).alias("differing"))
-
-
 @query("SELECT label, count(*) AS area FROM kept JOIN lab USING (root) GROUP BY label")
 def polygons_W7(spark, sf):
     """Outlines of the objects; exterior rings less holes have the objects' areas."""
@@ -285,35 +262,8 @@ def year_reconcile_J8(spark, sf):
     return whole.join(parts, "y").select(F.col("y").cast("long").alias("year"), (F.abs(F.col("nbr_fraction") - F.col("f")) <= 1e-12).alias("same"))
 
 
-@query("SELECT y, count(*) FILTER (recovery::DOUBLE < 0) AS lt_0, count(*) FILTER (recovery::DOUBLE >= 0) AS ge_0, count(*) FILTER (recovery::DOUBLE >= 0.5) AS ge_050, count(*) FILTER (recovery::DOUBLE >= 1) AS ge_100, round(min(recovery::DOUBLE), 6) AS low, round(avg(recovery::DOUBLE), 6) AS mean, round(max(recovery::DOUBLE), 6) AS high FROM oc GROUP BY y")
-def recovery_bundle_A13(spark, sf):
-    v = F.col("recovery").cast("double")
-    ge = lambda t, n: F.count_if(v >= t).alias(n)
-    return rounded(object_cells(spark, sf).groupBy("y").agg(F.count_if(v < 0).alias("lt_0"), ge(0, "ge_0"), ge(0.5, "ge_050"), ge(1, "ge_100"), F.min(v).alias("low"), F.avg(v).alias("mean"), F.max(v).alias("high")))
-
-
 @query("SELECT count(*) AS n, count(*) FILTER (pre <= CAST(0.3 AS FLOAT) OR pre IS NULL) AS low_baseline, count(*) FILTER (dnbr < CAST(0.3 AS FLOAT) OR dnbr IS NULL) AS low_change FROM kept")
 def consistency_V8(spark, sf):
     cells, _ = objects(spark, sf)
     bad = lambda ok: F.count_if(~F.coalesce(ok, F.lit(False)))
     return cells.agg(F.count("*").alias("n"), bad(F.col("pre") > C.f32(0.3)).alias("low_baseline"), bad(F.col("dnbr") >= C.f32(0.3)).alias("low_change"))
-
-
-@query("SELECT printf('disturbance-%03d', label) AS id, '{\"type\":\"Feature\",\"properties\":{\"pixel_count\":' || pixel_count || '},\"geometry\":{\"type\":\"MultiPoint\",\"n\":' || pixel_count || '}}' AS json FROM lab")
-def features_K10(spark, sf):
-    _, stats = objects(spark, sf)
-    shape = F.struct(F.lit("MultiPoint").alias("type"), F.col("pixel_count").alias("n"))
-    return sinks.feature_lines(stats.withColumn("id", M.object_id(F.col("label"))), "id", shape, ["pixel_count"])
-
-
-@query("SELECT printf('disturbance-%03d', label) AS disturbance_id, pixel_count, round(area_ha, 8) AS area_ha, round(pre_mean, 8) AS pre_mean, round(dnbr_median, 8) AS dnbr_median FROM lab")
-def public_record_H3(spark, sf):
-    _, stats = objects(spark, sf)
-    return stats.select(M.object_id(F.col("label")).alias("disturbance_id"), "pixel_count", *[F.round(c, 8).alias(c) for c in ("area_ha", "pre_mean", "dnbr_median")])
-
-
-@query("SELECT i.y, i.label, count(*) AS n, round(max(i.a), 6) AS high FROM (SELECT y, label, nbr::DOUBLE AS a FROM oc WHERE nbr IS NOT NULL) i WHERE label <= 5 GROUP BY i.y, i.label")
-def largest_by_year_A26(spark, sf):
-    """The five largest objects carry the labels 1 to 5."""
-    v = F.col("nbr").cast("double")
-    return rounded(object_cells(spark, sf).filter("label <= 5 and nbr is not null").groupBy("y", "label").agg(F.count("*").alias("n"), F.max(v).alias("high")))

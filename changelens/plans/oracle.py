@@ -139,7 +139,6 @@ FINAL = {
     "object_stats_A10": f"SELECT root, pixel_count, {_r('area_ha', 'centroid_x', 'centroid_y', 'pre_mean', 'pre_median', 'post_mean', 'post_median', 'dnbr_mean', 'dnbr_median', 'dnbr_p90', 'dnbr_max')}, printf('disturbance-%03d', label) AS disturbance_id FROM lab",
     "relabel_W1": "SELECT root, label FROM lab",
     "boundary_touch_F9": "SELECT root, bool_or(r < 2 OR c < 2 OR r >= w - 2 OR c >= w - 2) AS touches_boundary FROM comp8, w GROUP BY root",
-    "component_summary_A38": "SELECT count(*) AS raw, count(*) FILTER (n >= 3) AS retained, count(*) FILTER (n < 3) AS removed, CAST(sum(n) AS BIGINT) AS raw_pixels, CAST(sum(n) FILTER (n >= 3) AS BIGINT) AS retained_pixels, max(n) AS largest, round(median(n) FILTER (n >= 3)::DOUBLE, 6) AS median_size FROM (SELECT root, count(*) AS n FROM comp8 GROUP BY root)",
     "sensitivity_A31": "SELECT run::BIGINT AS run, what, count(n) AS raw, CAST(coalesce(sum(n), 0) AS BIGINT) AS raw_pixels, count(*) FILTER (n >= least) AS retained, CAST(coalesce(sum(n) FILTER (n >= least), 0) AS BIGINT) AS pixels, coalesce(max(n) FILTER (n >= least), 0) AS largest, round(coalesce(sum(n) FILTER (n >= least), 0) * 0.04::DOUBLE, 6) AS retained_ha FROM runs LEFT JOIN (SELECT run, root, count(*) AS n FROM comps GROUP BY run, root) USING (run) GROUP BY run, what",
     "recovery_P8": "SELECT label, y, r, c, round(recovery::DOUBLE, 6) + 0 AS recovery FROM oc",
     "object_year_A11": f"SELECT {_OY} FROM oy",
@@ -154,7 +153,6 @@ FINAL = {
     "rescue_A30": f"SELECT y, valid, gained, round(100 * gained / total::DOUBLE, 6) AS pct_aoi, round(100 * gained / nullif(total - valid, 0)::DOUBLE, 6) AS pct_missing, total - valid - gained AS remaining FROM (SELECT y, count(*) FILTER (nbr_valid) AS valid, count(*) FILTER (nbr_valid_without_negative_rejection AND NOT nbr_valid) AS gained, any_value((w - 2) * (w - 2)) AS total FROM yflags, w GROUP BY y)",
     "variant_difference_A23": f"SELECT y, count(a) AS left_valid, count(b) AS right_valid, count(x) AS overlap, count(*) FILTER (a IS NULL AND b IS NOT NULL) AS gained, count(*) FILTER (a IS NOT NULL AND b IS NULL) AS lost, count(*) FILTER (x > 1e-6) AS changed, round(avg(x), 6) AS mean_abs, round(median(x), 6) AS median_abs, round(quantile_cont(x, 0.95), 6) AS p95_abs, round(max(x), 6) AS max_abs FROM (SELECT y, a, b, abs((b - a)::DOUBLE) AS x FROM (SELECT y, {_nd('nir', 'swir2', 'preserve')} AS a, {_nd('nir', 'swir2', 'clamp-zero')} AS b FROM obs)) GROUP BY y",
     "extremes_F12": "SELECT y, count(*) FILTER (nbr < -1) AS lt_m1, count(*) FILTER (nbr > 1) AS gt_1, " + ", ".join(f"count(*) FILTER (abs(nbr) > {k}) AS abs_gt_{k}" for k in (1, 2, 5, 10)) + " FROM idx_p GROUP BY y",
-    "treatment_evidence_A25": f"SELECT y, count(*) AS n, count(*) FILTER (nir < 0 AND swir2 < 0) AS both_negative, count(*) FILTER (nir >= 0 AND swir2 < 0) AS second_negative, " + ", ".join(f"count(*) FILTER (abs(nir + swir2) < CAST({t} AS FLOAT)) AS near_{i}" for i, t in enumerate((0.001, 0.01, 0.05, 0.1))) + f", round(min(swir2)::DOUBLE, 6) AS min_b, round(max(swir2)::DOUBLE, 6) AS max_b FROM obs WHERE {_ok} GROUP BY y",
     "largest_five_O4": "SELECT label, pixel_count FROM lab ORDER BY label LIMIT 5",
     "common_intersect_U3": "SELECT r, c FROM ann WHERE y = 1995 AND nbr IS NOT NULL INTERSECT SELECT r, c FROM ann WHERE y = 1996 AND nbr IS NOT NULL",
     "lost_except_U2": "SELECT r, c FROM ann WHERE y = 1995 AND nbr IS NOT NULL EXCEPT SELECT r, c FROM ann WHERE y = 1996 AND nbr IS NOT NULL",
@@ -168,17 +166,9 @@ FINAL = {
     "tonal_A22": f"SELECT channel, count(*) AS n, count(*) FILTER (v <= CAST(0.01 AS FLOAT)) AS low, count(*) FILTER (v >= CAST(0.3 AS FLOAT)) AS high, round(median(v::DOUBLE), 6) AS median, round(quantile_cont(v::DOUBLE, 0.98), 6) AS p98 FROM (SELECT unnest(['red', 'nir', 'swir2']) AS channel, unnest([red, nir, swir2]) AS v FROM obs WHERE {_ok}) GROUP BY channel",
     "colour_dnbr_P36": f"SELECT r, c, {_colours(_CH)}, CAST(CASE WHEN v IS NULL THEN 0 WHEN v <= 0 THEN 34 WHEN v <= 0.3::DOUBLE THEN floor(34 + 156 * (v / 0.3::DOUBLE) + 0.5::DOUBLE) WHEN v <= 0.6::DOUBLE THEN floor(190 + 38 * ((v - 0.3::DOUBLE) / 0.3::DOUBLE) + 0.5::DOUBLE) ELSE floor(228 + 12 * least((v - 0.6::DOUBLE) / 0.4::DOUBLE, 1) + 0.5::DOUBLE) END AS BIGINT) AS alpha FROM (SELECT r, c, dnbr::DOUBLE AS v FROM pairs)",
     "colour_recovery_P36": f"SELECT y, r, c, {_colours(_RE)}, CAST(CASE WHEN v IS NULL THEN 0 ELSE 232 END AS BIGINT) AS alpha FROM (SELECT y, r, c, recovery::DOUBLE AS v FROM oc)",
-    "discovery_summary_A18": "SELECT y, count(*) AS items, strftime(min(d), '%Y-%m-%d') AS first, strftime(max(d), '%Y-%m-%d') AS last, count(DISTINCT tile) AS tiles, true AS all_nir, round(median(nir::DOUBLE), 6) AS nir_median FROM obs GROUP BY y",
-    "scale_pairs_A19": "SELECT DISTINCT l_returnflag, l_linestatus, l_tax FROM lineitem",
-    "band_alias_P22": "SELECT p_partkey, CASE p_partkey % 12 WHEN 0 THEN 'blue' WHEN 1 THEN 'green' WHEN 2 THEN 'red' WHEN 3 THEN 'nir' WHEN 4 THEN 'swir2' WHEN 5 THEN 'scl' WHEN 8 THEN 'scl' WHEN 9 THEN 'nir' WHEN 10 THEN 'swir2' WHEN 11 THEN 'scl' END AS band FROM part",
     "mgrs_P24": "SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 3 = 0 THEN 'T' || s_suppkey END, CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 THEN (s_suppkey % 60) || 'VWE' END) AS tile FROM supplier",
     "range_S19": "SELECT c_custkey, CASE WHEN k IN (0, 2) AND c_custkey < 500 THEN c_custkey WHEN k = 1 THEN greatest(500 - c_custkey, 0) END AS start, CASE WHEN k IN (0, 2) AND c_custkey < 500 THEN CASE WHEN k = 0 THEN 499 ELSE least(c_custkey + 50, 499) END WHEN k = 1 THEN 499 END AS \"end\" FROM (SELECT c_custkey, c_custkey % 4 AS k FROM customer)",
-    "missing_paths_J11": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
-    "reconcile_J6": "SELECT o_orderpriority, count(*) AS n, count(*) FILTER (v IS NULL) AS unmatched, count(*) FILTER (abs(v - o_totalprice) <= 0.25 * greatest(abs(v), abs(o_totalprice))) AS close FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS v FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey GROUP BY o_orderpriority",
     "timeseries_json_K9": "SELECT label, '[' || string_agg('{\"year\":' || y || ',\"n\":' || nbr_count || ',\"status\":\"' || status || '\"}', ',' ORDER BY y) || ']' AS json FROM oy GROUP BY label",
-    "average_R4": "SELECT r // 4 AS r4, c // 4 AS c4, round(avg(nbr::DOUBLE), 6) AS nbr, count(nbr) AS n FROM ann WHERE y = 1995 GROUP BY 1, 2",
-    "nearest_R5": "SELECT r // 2 AS r2, c // 2 AS c2, round(nbr::DOUBLE, 6) AS nbr FROM ann WHERE y = 1995 AND r % 2 = 1 AND c % 2 = 1",
-    "bilinear_R6": "SELECT r + dr AS r, c + dc AS c, round(sum(w * nbr::DOUBLE) / sum(w), 6) AS v FROM ann, (VALUES (0, 0, 0.5625::DOUBLE), (0, 1, 0.1875::DOUBLE), (1, 0, 0.1875::DOUBLE), (1, 1, 0.0625::DOUBLE)) k(dr, dc, w) WHERE y = 1995 AND nbr IS NOT NULL GROUP BY r + dr, c + dc HAVING bool_or(w > 0.5)",
 }
 
 

@@ -230,13 +230,6 @@ def boundary_touch_F9(spark, sf):
     return O.boundary_touch(O.components(candidates(spark, sf), w), ["root"], aoi(w), w, w)
 
 
-@query
-def component_summary_A38(spark, sf):
-    n = O.components(candidates(spark, sf), width(spark, sf)).groupBy("root").agg(F.count("*").alias("n"))
-    big = F.col("n") >= LEAST
-    return rounded(n.agg(F.count("*").alias("raw"), F.count_if(big).alias("retained"), F.count_if(~big).alias("removed"), F.sum("n").alias("raw_pixels"), F.sum(F.when(big, F.col("n"))).alias("retained_pixels"), F.max("n").alias("largest"), F.median(F.when(big, F.col("n"))).alias("median_size")))
-
-
 @query
 def sensitivity_A31(spark, sf):
     runs = [("dnbr", 0.3, t, LEAST) for t in O.CHANGE_SWEEP] + [("baseline", b, 0.3, LEAST) for b in O.BASELINE_SWEEP] + [("patch", 0.3, 0.3, ceil(h / C.PIXEL_HECTARES - 1e-12)) for h in PATCH_SWEEP]
@@ -341,12 +334,6 @@ def extremes_F12(spark, sf):
     return rounded(indices(spark, sf, "preserve").groupBy("y").agg(F.count_if(x < -1).alias("lt_m1"), F.count_if(x > 1).alias("gt_1"), *[F.count_if(F.abs(x) > k).alias(f"abs_gt_{k}") for k in (1, 2, 5, 10)]))
 
 
-@query
-def treatment_evidence_A25(spark, sf):
-    a, b = F.col("nir"), F.col("swir2")
-    return rounded(obs(spark, sf).filter(C.scl_valid(F.col("scl"))).groupBy("y").agg(F.count("*").alias("n"), F.count_if((a < 0) & (b < 0)).alias("both_negative"), F.count_if((a >= 0) & (b < 0)).alias("second_negative"), *[F.count_if(F.abs(a + b) < C.f32(t)).alias(f"near_{i}") for i, t in enumerate((0.001, 0.01, 0.05, 0.1))], F.min(b).alias("min_b"), F.max(b).alias("max_b")))
-
-
 @query
 def largest_five_O4(spark, sf):
     _, stats = objects(spark, sf)
@@ -427,25 +414,6 @@ def colour_recovery_P36(spark, sf):
     return object_cells(spark, sf).select("y", "r", "c", F.col("recovery").cast("double").alias("v")).select(F.col("y").cast("long").alias("y"), "r", "c", *[x.cast("long").alias(k) for k, x in C.recovery_colour(F.col("v")).items()])
 
 
-@query
-def discovery_summary_A18(spark, sf):
-    return rounded(obs(spark, sf).groupBy("y").agg(F.count("*").alias("items"), F.date_format(F.min("d"), "yyyy-MM-dd").alias("first"), F.date_format(F.max("d"), "yyyy-MM-dd").alias("last"), F.countDistinct("tile").alias("tiles"), F.bool_and(C.finite(F.col("nir"))).alias("all_nir"), F.median("nir").alias("nir_median")))
-
-
-@query
-def scale_pairs_A19(spark, sf):
-    return table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_tax").distinct()
-
-
-@query
-def band_alias_P22(spark, sf):
-    p = table(spark, sf, "part")
-    k = F.col("p_partkey") % 12
-    key = F.element_at(F.array(*map(F.lit, ("Blue", "B-03", "b4", "B08", "swir22", "scene_classification", "visual", "x1", "thumb", "x2", "B12", "SCL"))), (k + 1).cast("int"))
-    texts = F.array(F.when(k == 7, F.lit("Band B02")), F.when(k == 9, F.lit("nir")), F.when(k == 8, F.lit("the Scene Classification map (20m)")), F.when(k == 6, F.lit("red")))
-    return p.select("p_partkey", M.band_of(key, texts).alias("band"))
-
-
 @query
 def mgrs_P24(spark, sf):
     s = table(spark, sf, "supplier")
@@ -462,43 +430,8 @@ def range_S19(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", got["start"].alias("start"), got["end"].alias("end"))
 
 
-@query
-def missing_paths_J11(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
-
-
-@query
-def reconcile_J6(spark, sf):
-    a = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
-    o = table(spark, sf, "orders")
-    close = F.abs(F.col("v") - F.col("o_totalprice")) <= 0.25 * F.greatest(F.abs("v"), F.abs("o_totalprice"))
-    return o.join(a, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("unmatched"), F.count_if(close).alias("close"))
-
-
 @query
 def timeseries_json_K9(spark, sf):
     row = F.struct(F.col("y").alias("year"), F.col("nbr_count").alias("n"), F.col("status").alias("status"))
     g = object_years(spark, sf).groupBy("label").agg(F.array_sort(F.collect_list(row)).alias("series"))
     return g.select(F.col("label").cast("long").alias("label"), F.to_json("series").alias("json"))
-
-
-@query
-def average_R4(spark, sf):
-    a = annual(spark, sf).filter(F.col("y") == PRE)
-    return rounded(a.groupBy(F.expr("r div 4").alias("r4"), F.expr("c div 4").alias("c4")).agg(F.avg(F.col("nbr").cast("double")).alias("nbr"), F.count("nbr").alias("n")))
-
-
-@query
-def nearest_R5(spark, sf):
-    a = annual(spark, sf).filter(F.col("y") == PRE)
-    return rounded(a.filter("r % 2 = 1 and c % 2 = 1").select(F.expr("r div 2").alias("r2"), F.expr("c div 2").alias("c2"), "nbr"))
-
-
-@query
-def bilinear_R6(spark, sf):
-    """Half-cell shift: each target takes the mean of the valid ones of four neighbours by weight."""
-    a = annual(spark, sf).filter(F.col("y") == PRE).filter("nbr is not null")
-    near = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit((0.75 if dr == 0 else 0.25) * (0.75 if dc == 0 else 0.25)).alias("w")) for dr in (0, 1) for dc in (0, 1)])
-    parts = a.select("r", "c", "nbr", F.explode(near).alias("k")).select((F.col("r") + F.col("k.dr")).alias("r"), (F.col("c") + F.col("k.dc")).alias("c"), "nbr", "k.w", (F.col("k.w") > 0.5).alias("own"))
-    v = F.sum(F.col("w") * F.col("nbr").cast("double")) / F.sum("w")
-    return rounded(parts.groupBy("r", "c").agg(v.alias("v"), F.bool_or("own").alias("own")).filter("own").drop("own"))

@@ -64,33 +64,11 @@ def coverage_entry_A27(spark, sf):
     return g.select("o_orderpriority", "n", r6(p).alias("pct"), (p >= 90).alias("ge_90"), (p >= 95).alias("ge_95"))
 
 
-@query("SELECT c_custkey, round(c_acctbal / 7, 5) AS x, 0.0::DOUBLE AS y FROM customer")
-def coordinate_rounding_P20(spark, sf):
-    p = F.array(F.struct((F.col("c_acctbal") / 7).alias("x"), F.lit(-0.0000001).alias("y")))
-    return table(spark, sf, "customer").select("c_custkey", S.rounded_points(p, 5)[0].alias("p")).select("c_custkey", "p.x", "p.y")
-
-
 @query("SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS name FROM customer")
 def normalise_P21(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", M.normalised(F.col("c_name")).alias("name"))
 
 
-@query("SELECT page_id, page_id % 4 = 0 OR page_id % 4 = 1 AS cog FROM pages")
-def cog_likely_P23(spark, sf):
-    k = F.col("page_id") % 4
-    kind = F.when(k == 0, "image/tiff; profile=Cloud-Optimized").when(k < 3, "image/TIFF")
-    href = F.when(k == 1, F.concat("page_id", F.lit(".TIF"))).otherwise("x.jp2")
-    return table(spark, sf, "pages").select("page_id", M.cog_likely(kind, href).alias("cog"))
-
-
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS n, CASE WHEN event_id % 3 <> 0 THEN event_type END AS tile FROM events")
-def property_filter_P25(spark, sf):
-    tile = F.when(F.col("event_id") % 3 != 0, F.col("event_type"))
-    props = F.create_map(F.lit("MGRS:zone"), F.lit("33"), F.lit("s2:mgrs_tile"), tile, F.lit("platform"), F.col("props"))
-    e = table(spark, sf, "events").select("event_id", S.matching_keys(props, "mgrs").alias("m"))
-    return e.select("event_id", F.size("m").cast("long").alias("n"), F.try_element_at("m", F.lit("s2:mgrs_tile")).alias("tile"))
-
-
 @query("SELECT event_id, CAST(ts AS DATE) AS day FROM events")
 def utc_date_P27(spark, sf):
     iso = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -120,13 +98,6 @@ def human_bytes_P32(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", M.human_bytes(n).alias("size"))
 
 
-@query("SELECT c_custkey, c_custkey % 3 <> 0 AS ok FROM customer")
-def variant_tag_P33(spark, sf):
-    k = F.col("c_custkey")
-    s = F.when(k % 3 == 0, F.concat(F.lit("-"), k)).otherwise(F.concat(k, F.lit("_v1.0-b")))
-    return table(spark, sf, "customer").select("c_custkey", S.tag_ok(s).alias("ok"))
-
-
 @query("SELECT p_partkey, 5::BIGINT AS points, CAST(p_size * (p_size + 2) AS DOUBLE) AS area FROM part")
 def ring_area_R8(spark, sf):
     """Vertices and area of a ring of each part: a rectangle of p_size by p_size + 2."""
@@ -144,14 +115,6 @@ def referenced_paths_P35(spark, sf):
     return table(spark, sf, "pages").select("page_id", paths[0].alias("a"), paths[1].alias("b"), F.size(paths).cast("long").alias("n"))
 
 
-@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://h/a/' || page_id WHEN 1 THEN 'https://h/b/' || page_id END AS url FROM pages")
-def asset_url_P37(spark, sf):
-    k = F.col("page_id")
-    s = F.when(k % 5 == 0, F.concat(F.lit(" https://h//a/"), k, F.lit(" "))).when(k % 5 == 1, F.concat(F.lit("https://h/b///"), k))
-    s = s.when(k % 5 == 2, F.concat(F.lit("https://h/../"), k)).when(k % 5 == 3, F.concat(F.lit("https://h/a?x="), k)).otherwise(F.concat(F.lit("http://h/"), k))
-    return table(spark, sf, "pages").select("page_id", S.asset_url(s).alias("url"))
-
-
 @query("SELECT page_id, sha256(coalesce(html, '')) AS sha256 FROM pages")
 def sha256_P40(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("sha256"))
@@ -254,44 +217,6 @@ def crs_round_trip_R7(spark, sf):
     return c.select("c_custkey", east.alias("e"), north.alias("n")).select("c_custkey", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) AS only_left, (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) AS only_right")
-def set_equality_U5(spark, sf):
-    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit(1).alias("l"), F.lit(0).alias("r"))
-    b = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.lit(0).alias("l"), F.lit(1).alias("r"))
-    g = a.unionByName(b).groupBy("id").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    return g.agg(F.count_if(F.col("l") > F.col("r")).alias("only_left"), F.count_if(F.col("r") > F.col("l")).alias("only_right"))
-
-
-@query("SELECT page_id, page_id % 3 = 0 AS inside FROM pages")
-def path_guard_U8(spark, sf):
-    k = F.col("page_id")
-    path = F.when(k % 3 == 0, F.concat(F.lit("/data/raw/"), k)).when(k % 3 == 1, F.concat(F.lit("/data/raw-"), k)).otherwise("/out/data/raw/1")
-    return table(spark, sf, "pages").select("page_id", S.within(path, ["/data/raw"]).alias("inside"))
-
-
-@query("SELECT c_mktsegment, count(DISTINCT c_nationkey) = 1 AS aligned FROM customer GROUP BY 1")
-def alignment_V7(spark, sf):
-    n = F.col("c_nationkey")
-    return table(spark, sf, "customer").groupBy("c_mktsegment").agg((F.min(n) == F.max(n)).alias("aligned"))
-
-
-@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
-def duplicate_keys_V11(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).filter("n > 1")
-
-
-@query("SELECT c_mktsegment, list_sort(list(c_acctbal))[len(list(c_acctbal)) // 2 + 1] AS upper_middle FROM customer GROUP BY 1")
-def upper_middle_A34(spark, sf):
-    return table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY c_acctbal DESC)").alias("upper_middle"))
-
-
-@query("SELECT event_type, count(*) AS total, count(*) FILTER (value > 20) AS valid, round(100.0::DOUBLE * count(*) FILTER (value > 20) / count(*), 6) AS pct, round(median(value) FILTER (value > 20), 6) AS median, round(quantile_cont(value, 0.1) FILTER (value > 20), 6) AS p10, round(quantile_cont(value, 0.9) FILTER (value > 20), 6) AS p90, count(*) FILTER (value > 50) AS gt_50 FROM events GROUP BY 1")
-def footprint_stats_A24(spark, sf):
-    v = F.when(F.col("value") > 20, F.col("value"))
-    p = lambda q: r6(F.percentile(v, F.lit(q)))
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("total"), F.count(v).alias("valid"), r6(C.percentage(F.count(v), F.count("*"))).alias("pct"), p(0.5).alias("median"), p(0.1).alias("p10"), p(0.9).alias("p90"), F.count_if(F.col("value") > 50).alias("gt_50"))
-
-
 @query("SELECT event_type, count(value) AS n, min(value) AS low, median(value) AS median, max(value) AS high FROM events GROUP BY 1")
 def band_stats_H9(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.median("value").alias("median"), F.max("value").alias("high"))

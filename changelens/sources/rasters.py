@@ -33,7 +33,8 @@ def write(cells: DataFrame, path: str, nodata: dict[str, float], by: Sequence[st
 
     The shuffle is on by, tile and a row band, so that one year of few tiles is not one task's work.
     """
-    out = tiled(cells.withColumns({k: encoded(F.col(k), v) for k, v in nodata.items()}), tile)
+    kinds = dict(cells.dtypes)
+    out = tiled(cells.withColumns({k: encoded(F.col(k), v).cast(kinds[k]) for k, v in nodata.items()}), tile)
     keys = [*by, "tile_r", "tile_c"]
     out.repartition(*keys, F.floor(F.col("r") % tile / 64)).sortWithinPartitions(*keys, "r", "c").write.mode(mode).partitionBy(*keys).parquet(path)
 

@@ -84,7 +84,7 @@ def test_metadata(spark):
     assert one(spark, M.byte_range(F.lit("bytes=10-"), F.lit(10)), x=1) is None
 
 
-@pytest.mark.parametrize("name", ["candidate_F2", "components_8_W6", "object_year_A11", "missingness_A28", "segments_W3", "band_alias_P22", "gained_lost_U4", "dnbr_P7", "recovery_P8"])
+@pytest.mark.parametrize("name", ["candidate_F2", "components_8_W6", "object_year_A11", "missingness_A28", "segments_W3", "gained_lost_U4", "dnbr_P7", "recovery_P8"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "part", "orders", "customer", "supplier"):
