@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cells as C
 from .graph import connected_components, cut, partitions
@@ -78,19 +81,56 @@ def checked_denominators(cells: DataFrame, baseline: float = 0.30, least: float
     return out.withColumn("retained", F.when(wrong.isNull(), F.col("retained")).otherwise(F.raise_error(wrong).cast("long")))
 
 
-def components(cells: DataFrame, width: int, connectivity: int = 8, extra: list[str] | None = None) -> DataFrame:
+def _tile_roots(r: np.ndarray, c: np.ndarray, connectivity: int) -> np.ndarray:
+    """Of each cell of a tile the place in (r, c) order of the first cell of its component; repeated cells are one."""
+    r, c = r - r.min(), c - c.min()
+    across = int(c.max()) + 2
+    key, own = np.unique(r * across + c, return_inverse=True)
+    root = np.arange(len(key))
+    ends = []
+    for dr, dc in FORWARD[connectivity]:
+        # The spare column keeps the last cell of a row apart from the first of the next.
+        near = key + dr * across + dc
+        at = np.minimum(np.searchsorted(key, near), len(key) - 1)
+        hit = (key[at] == near) & (key % across + dc >= 0)
+        ends.append((np.flatnonzero(hit), at[hit]))
+    a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while not np.array_equal(up := root[root], root):
+            root = up
+        left = root[a] != root[b]
+        a, b = a[left], b[left]
+    first = np.full(len(key), len(own))
+    np.minimum.at(first, own, np.arange(len(own)))
+    return first[root[own]]
+
+
+def components(cells: DataFrame, width: int, connectivity: int = 8, extra: list[str] | None = None, tile: int = 256) -> DataFrame:
     """cells (r, c) with root, the smallest r * width + c of their component; `extra` columns keep runs apart.
 
-    Edges are equi-joins with the shifted cells, so neighbours meet in one exchange; lone cells are their own component.
+    Each tile is labelled by itself, at most tile * tile cells at a time. Only cells at the edges of tiles then meet, by equi-joins with
+    the shifted cells, and the graph of what they join, one node a component of a tile, gives the components of the whole.
     """
     extra = extra or []
-    cells = cut(cells, "cells")
-    node = F.concat_ws(":", *[F.col(e).cast("string") for e in extra], F.lpad((F.col("r") * width + F.col("c")).cast("string"), 18, "0")) if extra else F.col("r") * width + F.col("c")
-    own = cells.select(*extra, "r", "c", node.alias("id"))
-    shifted = own.select(*extra, F.col("id").alias("a"), F.explode(F.array(*[F.struct((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")) for dr, dc in FORWARD[connectivity]])).alias("s")).select(*extra, "a", "s.r", "s.c")
-    edges = shifted.join(own.withColumnRenamed("id", "b"), [*extra, "r", "c"]).select("a", "b")
-    roots = connected_components(edges)
-    out = cells.withColumn("_id", node).join(roots, F.col("_id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "_id")).drop("_id", "node", "component")
+    keys = [*extra, "_tr", "_tc"]
+    dealt = cells.withColumns({"_tr": F.floor(F.col("r") / tile), "_tc": F.floor(F.col("c") / tile)})
+
+    def label(t: pa.Table) -> pa.Table:
+        r, c = (t.column(k).to_numpy().astype(np.int64) for k in ("r", "c"))
+        at = _tile_roots(r, c, connectivity)
+        return t.append_column("_root", pa.array((r * width + c)[at], pa.int64()))
+
+    labelled = cut(dealt.groupBy(*keys).applyInArrow(label, T.StructType([*dealt.schema.fields, T.StructField("_root", T.LongType())])), "cells")
+    node = F.concat_ws(":", *[F.col(e).cast("string") for e in extra], F.lpad(F.col("_root").cast("string"), 18, "0")) if extra else F.col("_root")
+    last = lambda x: F.pmod(F.col(x), F.lit(tile)).isin(0, tile - 1)
+    edge = labelled.filter(last("r") | last("c")).select(*extra, "r", "c", "_tr", "_tc", node.alias("id")).distinct()
+    shifted = edge.select(*extra, F.col("id").alias("a"), F.col("_tr").alias("_ar"), F.col("_tc").alias("_ac"), F.explode(F.array(*[F.struct((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")) for dr, dc in FORWARD[connectivity]])).alias("s"))
+    met = shifted.select(*extra, "a", "_ar", "_ac", "s.r", "s.c").join(edge.withColumnRenamed("id", "b"), [*extra, "r", "c"])
+    roots = connected_components(met.filter("_ar != _tr or _ac != _tc").select("a", "b").distinct())
+    out = labelled.withColumn("_id", node).join(roots, F.col("_id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "_id"))
+    out = out.drop("_id", "node", "component", "_root", "_tr", "_tc")
     return out.withColumn("root", F.substring_index("root", ":", -1).cast("long")) if extra else out
 
 

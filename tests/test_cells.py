@@ -115,3 +115,31 @@ def test_join_spread(spark):
     right = spark.createDataFrame([(1, 300, "hot"), (2, 1, "cold"), (9, 1, "none")], "k long, n long, v string")
     got = sorted((r["k"] or 0, r["x"], r["v"] or "") for r in join_spread(left, right, "k", "n", 303, [F.col("x")]).collect())
     assert got == sorted([(1, i, "hot") for i in range(300)] + [(2, 0, "cold"), (3, 1, ""), (0, 2, "")])
+
+
+@pytest.mark.parametrize("connectivity", [4, 8])
+@pytest.mark.parametrize("tile", [3, 5, 256])
+def test_components_over_tiles(spark, connectivity, tile):
+    """Against a flood fill, on a grid of many tiles and in two runs with repeated cells."""
+    import random
+
+    w, pick = 23, random.Random(31)
+    runs = {k: {(r, c) for r in range(w) for c in range(w) if pick.random() < share} for k, share in ((1, 0.45), (2, 0.6))}
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if abs(a) + abs(b) == 1 or connectivity == 8 and (a or b)]
+    want = set()
+    for k, cells in runs.items():
+        left = set(cells)
+        while left:
+            part = [left.pop()]
+            for r, c in part:
+                for x in [(r + a, c + b) for a, b in steps if (r + a, c + b) in left]:
+                    left.remove(x)
+                    part.append(x)
+            want |= {(k, r, c, min(a * w + b for a, b in part)) for r, c in part}
+    rows = [(k, r, c) for k, cells in runs.items() for r, c in cells]
+    df = spark.createDataFrame(rows + rows[:5], "k int, r long, c long").repartition(3)
+    got = [tuple(r) for r in O.components(df, w, connectivity, ["k"], tile).select("k", "r", "c", "root").collect()]
+    assert set(got) == want and len(got) == len(want) + 5
+    single = {tuple(r) for r in O.components(df.filter("k = 2").drop("k"), w, connectivity, None, tile).select("r", "c", "root").collect()}
+    assert single == {x[1:] for x in want if x[0] == 2}
+    assert O.components(df.filter("false"), w, connectivity, ["k"], tile).count() == 0
