@@ -15,7 +15,7 @@ from ..functions import scenes as S
 from ..operators import cells as O
 from ..operators import polygons
 from ..operators.graph import shared_path
-from ..sources import catalog, config, rasters, sinks
+from ..sources import catalog, config, rasters, sinks, tiff
 from . import oracle
 from .queries import LEAST, PRE, annual, aoi, candidates, object_cells, object_years, objects, obs, pairs, r6, rounded, table, width
 from .records import _UTM, _grid
@@ -471,3 +471,31 @@ def display_points_H14(spark, sf):
     white = F.coalesce(F.when(F.col("c_custkey") % 3 != 0, F.round(F.col("c_acctbal") / 20000, 3)), F.lit(0.22))
     gamma = F.when(F.col("c_nationkey") % 5 == 0, 1.2).otherwise(1.0)
     return table(spark, sf, "customer").select("c_custkey", F.when((white > 0.01) & (gamma == 1.0), white).alias("white"))
+
+
+# TIFF files
+
+
+def _tiffs(spark, sf, piece: int = 32):
+    path = shared_path(spark, "tiffs")
+    rows = annual(spark, sf).select("y", "r", "c", "nbr").filter("r >= 0 and c >= 0")
+    listing = shared_path(spark, "tiff-list")
+    tiff.write(rows, path, "nbr", "y", (499980.0, 6900000.0), 20.0, 32633, piece=piece, tile=16).write.parquet(listing)
+    return path, spark.read.parquet(listing)
+
+
+@query("SELECT y AS year, r, c, round(nbr::DOUBLE, 6) AS nbr FROM ann WHERE r >= 5 AND r < 40 AND c >= 3 AND c < 36 AND nbr IS NOT NULL")
+def geotiff_K1_K2_S6(spark, sf):
+    """The index of each year as tiled files, in pieces, and a window of them by the tiles that hold it."""
+    path, listing = _tiffs(spark, sf)
+    got = tiff.read(spark, path, listing, (5, 3, 40, 36)).filter("value is not null")
+    return got.select(F.col("by").alias("year"), "r", "c", r6("value").alias("nbr"))
+
+
+@query("SELECT y AS year, CAST(r // 32 AS BIGINT) AS piece_r, CAST(c // 32 AS BIGINT) AS piece_c, max(r) % 32 + 1 AS height, max(c) % 32 + 1 AS width, 0::BIGINT AS problems FROM ann WHERE r >= 0 AND c >= 0 GROUP BY y, r // 32, c // 32")
+def raster_structure_V6(spark, sf):
+    """The structure of each file by its header: one band, deflated tiles, projection, cell size, sentinel."""
+    path, listing = _tiffs(spark, sf)
+    place = F.split(F.regexp_replace("file", r"\.tif$", ""), "-")
+    got = tiff.checked(spark, path, listing, 16, 32633, 20.0)
+    return got.select(F.col("by").alias("year"), place[1].cast("long").alias("piece_r"), place[2].cast("long").alias("piece_c"), "height", "width", F.size("problems").cast("long").alias("problems"))

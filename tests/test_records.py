@@ -136,3 +136,31 @@ def test_query_equals_sql(spark, db, name):
     at = [d[0] for d in found.description]
     assert sorted(at) == names
     assert got == sorted((tuple(plain(r[at.index(c)]) for c in names) for r in found.fetchall()), key=repr)
+
+
+def test_tiff_round_trip(spark, tmp_path):
+    import io
+    import math
+
+    import numpy as np
+
+    from changelens.sources import tiff
+
+    rng = np.random.default_rng(1)
+    for kind in ("f4", "i4", "u2", "u1"):
+        values = (rng.random((37, 50)) * 200).astype(kind)
+        data = tiff.encode(values, 1000.0, 2000.0, 20.0, 32633, 255, 16)
+        f = tiff.fields(io.BytesIO(data))
+        assert f[tiff.WIDTH] == [50] and f[tiff.TIE_POINT][3:5] == [1000.0, 2000.0] and f[tiff.NODATA] == ["255"] and tiff.problems(f, 16, 32633, 20.0) == []
+        for box in ((0, 0, 37, 50), (5, 7, 20, 33), (30, 40, 99, 99), (16, 16, 17, 17), (36, 0, 36, 9)):
+            assert np.array_equal(tiff.window(io.BytesIO(data), box), values[box[0] : box[2], box[1] : box[3]])
+        assert tiff.problems(f, 32, 4326, 10.0) == ["not tiled", "wrong projection", "wrong cell size", "tiles missing"]
+    with pytest.raises(ValueError):
+        tiff.fields(io.BytesIO(b"MM\0*" + bytes(20)))
+    rows = [(1, 0, 0, 1.5), (1, 9, 12, NAN), (1, 9, 13, 2.5), (2, 3, 3, None), (2, 3, 3, 4.0), (2, 8, 8, INF)]
+    path = f"file://{tmp_path}/t"
+    listing = tiff.write(spark.createDataFrame(rows, "y int, r int, c int, v double"), path, "v", "y", (0.0, 0.0), 20.0, 32633, piece=8, tile=4)
+    listing = spark.createDataFrame(listing.collect(), listing.schema)
+    got = {(r["by"], r["r"], r["c"]): r["value"] for r in tiff.read(spark, path, listing).filter("value is not null").collect()}
+    assert got == {(1, 0, 0): 1.5, (1, 9, 13): 2.5, (2, 3, 3): 4.0} and all(map(math.isfinite, got.values()))
+    assert tiff.read(spark, path, listing, (9, 13, 10, 14)).filter("by = 1").collect()[0]["value"] == 2.5
