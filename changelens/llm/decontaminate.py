@@ -21,7 +21,7 @@ WORD_TABLE = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Text that one shard's index holds, and benchmark text that is searched at once; a larger benchmark goes in blocks. A block
 #: takes about 13 words of four bytes for each of its words, three times over while it is built.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
 SAMPLE_EVERY = 8
 

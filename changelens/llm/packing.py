@@ -10,26 +10,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_texts, slices, written
-from .tokens import default_tokenizer, word_cache
+from .tokens import CACHE_WORDS, default_tokenizer, word_cache
 
 END = (1).to_bytes(4, "little")
 
 
-def pieces(docs: DataFrame, most: int = 2048, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids and the closing id 1, cut after every `most` ids."""
+def pieces(docs: DataFrame, most: int = 2048, tokenizer: str | None = None, words: int = CACHE_WORDS) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids and the closing id 1, cut after every `most` ids.
+
+    words bounds the words that a Python worker remembers, from task to task, and with that its memory; ids don't depend on it.
+    """
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_cache(path)
+        cache = word_cache(path, words)
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 rows: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), words.ids(byte_texts(part.column(1))), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), cache.ids(byte_texts(part.column(1))), strict=True):
                     ids += END
                     n = len(ids) // 4
                     rows += [(doc, s, min(most, n - s), zlib.crc32(ids[4 * s : 4 * (s + most)]), n) for s in range(0, n, most)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        words.settle()
+        cache.settle()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
@@ -74,7 +77,7 @@ def slots(patterns: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, in
     return out
 
 
-def pack(docs: DataFrame, most: int = 2048, tokenizer: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, most: int = 2048, tokenizer: str | None = None, words: int = CACHE_WORDS) -> DataFrame:
     """The pieces of docs with sequence_id and offset.
 
     Null and empty texts are one piece, the id 1. Rows that share a doc_id are packed one by one. Ranks within a length
@@ -82,7 +85,7 @@ def pack(docs: DataFrame, most: int = 2048, tokenizer: str | None = None) -> Dat
     number at most the partitions plus the lengths; a frequent length spreads over many partitions.
     """
     spark = docs.sparkSession
-    cut = written(pieces(docs, most, tokenizer), "pack-pieces")
+    cut = written(pieces(docs, most, tokenizer, words), "pack-pieces")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = cut.repartitionByRange(parts, "length", "doc_id", "start", "ids_crc32").sortWithinPartitions("length", "doc_id", "start", "ids_crc32")
     ranged = written(ranged.withColumns({"_at": F.monotonically_increasing_id(), "_part": F.spark_partition_id()}), "pack-ranged")

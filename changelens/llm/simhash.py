@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, join_spread, partitions
-from .common import LOWER_BYTES, boxed, byte_texts, unboxed, written
+from .common import LOWER_BYTES, boxed, byte_texts, give_back, slices, unboxed, written
 
 #: A bin over this size is dealt again by its other bits before pairs are compared, and this often at most.
 BIN_ROWS, ROUNDS = 4096, 3
@@ -47,9 +47,11 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, also: tuple[st
     """(doc_id, fp) and the long columns named in also: fp is the fingerprint as a signed long. Null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(t, words, seed) for t in byte_texts(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *also])
+        for batch in batches:
+            for b in slices(batch, "text", 4 << 20):
+                fps = np.array([fingerprint(t, words, seed) for t in byte_texts(b.column(1))], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *also])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text", *also).mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in also)]))
 
@@ -203,6 +205,7 @@ def links(rows: DataFrame, tau: int, parts: int) -> DataFrame:
                 yield out(n)
                 keys, fps = keys[n:], fps[n:]
         yield out(len(keys))
+        give_back()
 
     dealt = rows.select("key", "fp").repartition(parts, "key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(run, "a long, b long").filter("a != b").distinct()

@@ -31,11 +31,17 @@ def default_tokenizer() -> str:
 
 
 @lru_cache(maxsize=2)
-def word_cache(path: str) -> WordCache:
-    """This process's cache for a tokenizer."""
+def _cache(path: str) -> WordCache:
     return WordCache(path)
 
 
+def word_cache(path: str, most: int = CACHE_WORDS) -> WordCache:
+    """This process's cache for a tokenizer, which is to remember at most so many words from now on."""
+    cache = _cache(path)
+    cache.most = most
+    return cache
+
+
 class WordCache:
     """Ids of UTF-8 texts as little-endian unsigned 32-bit bytes.
 
@@ -50,6 +56,7 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.most = CACHE_WORDS
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
         cut = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
@@ -89,8 +96,8 @@ class WordCache:
 
     def settle(self) -> None:
         """At the end of a task: keep at most half the words and give free memory back, which an idle worker would hold."""
-        if len(self.known) > CACHE_WORDS // 2:
-            self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))
+        if len(self.known) > self.most // 2:
+            self.known = dict(islice(self.known.items(), self.most // 2))
         give_back()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
@@ -98,8 +105,8 @@ class WordCache:
             return self._whole(texts)
         # The tokenizer lower-cases all but its special tokens, which start with <|; doing so first makes fewer words.
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))
+        if len(self.known) > self.most:
+            self.known = dict(islice(self.known.items(), self.most // 2))
         known = self.known
         new = set().union(*words).difference(known)
         # ASCII marks behind a letter are a piece of their own: those words are put together from two known ones.

@@ -31,9 +31,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+#: Words that packing's workers remember: few, as they outlive the stage and the other stages need the memory.
+WORDS = 150_000
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, words=WORDS)
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", benchmark_decontamination), ("packing", packed)]
