@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import math
 import re
 import time
 import zlib
@@ -11,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from changelens.llm import chat, decontaminate, lines, packing, pii, quality, rollups, simhash, suffixes, tokens, warc
 
@@ -60,6 +62,66 @@ def test_quality_rules_hold_out(spark):
     assert n.get((1, True), 0) <= 0.01 * sum(v for (q, _), v in n.items() if q == 1)
 
 
+def slow_covering(rows, prune, max_rules=8, max_conditions=3, min_precision=0.9, min_covered=8):
+    """Sequential covering over the rows themselves: {feature: value} with y; prune tells which third each row is in."""
+    n = len(rows)
+    edges = {f: sorted({sorted(r[f] for r in rows)[max(math.ceil(q * n) - 1, 0)] for q in quality.QUANTILES}) for f in quality.FEATURES}
+    count = lambda held: {(y, p): sum(rows[i]["y"] == y and prune[i] == p for i in held) for y in (0, 1) for p in (False, True)}
+    holds = lambda i, c: (rows[i][c[0]] > c[2]) == c[1]
+    left, done = list(range(n)), []
+    while len(done) < max_rules:
+        rule, steps, held = [], [], left
+        while len(rule) < max_conditions:
+            whole, best, most = count(held), None, 1e-9
+            for f in quality.FEATURES:
+                for e in edges[f]:
+                    for above in (False, True):
+                        got = count([i for i in held if holds(i, (f, above, e))])
+                        p, q = got[1, False], got[0, False]
+                        gain = p * (math.log2(p / (p + q)) - math.log2(whole[1, False] / (whole[1, False] + whole[0, False]))) if p else 0.0
+                        if gain > most:
+                            best, most = (f, above, e), gain + 1e-9
+            if best is None:
+                break
+            rule.append(best)
+            held = [i for i in held if holds(i, best)]
+            steps.append((count(held), held))
+            if steps[-1][0][0, False] == 0:
+                break
+        if not rule:
+            break
+        k = max(range(len(rule)), key=lambda k: ((steps[k][0][1, True] - steps[k][0][0, True]) / max(1, steps[k][0][1, True] + steps[k][0][0, True]), -k))
+        got, held = steps[k]
+        p, q, a, b = got[1, True], got[0, True], got[1, False], got[0, False]
+        if a + p < min_covered or p < min_precision * (p + q) or a < min_precision * (a + b):
+            break
+        done.append(rule[: k + 1])
+        left = [i for i in left if i not in set(held)]
+    return done
+
+
+def test_quality_covering_by_brute_force(spark):
+    """The rules that covering the rows one by one gives, and the verdict on each document."""
+    rng = np.random.default_rng(33)
+    words = lambda n, m=3000: [f"w{x}" for x in rng.integers(0, m, n)]
+    texts = [(i, " ".join(words(60 + i % 40)), 1) for i in range(150)]
+    texts += [(200 + i, " ".join(w + "$" if j % 6 == 0 else w for j, w in enumerate(words(70))), 0) for i in range(40)]
+    texts += [(300 + i, " ".join(words(80, 25)), 0) for i in range(40)]
+    texts += [(400 + i, " ".join(words(70)).upper(), 0) for i in range(30)] + [(500 + i, " ".join(words(70)), 0) for i in range(6)]
+    docs = spark.createDataFrame([x[:2] for x in texts], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, quality int")
+    held = quality.features(docs).select("row.doc_id", "row.text", *[F.col(f).cast("double").alias(f) for f in quality.FEATURES], (F.pmod(F.xxhash64(F.lit(7), "row.doc_id"), F.lit(3)) == 0).alias("prune")).collect()
+    good = {i: y for i, _, y in texts}
+    rows = [{f: r[f] for f in quality.FEATURES} | {"y": 1 - good[r["doc_id"]]} for r in held]
+    want = slow_covering(rows, [r["prune"] for r in held])
+    rules = quality.learn(docs, labels)
+    assert [[(c.feature, c.above, c.threshold) for c in r] for r in rules.rules] == want and len(want) >= 2
+    verdict = {r["doc_id"]: (r["rule"], r["kept"]) for r in quality.apply_rules(docs, rules).collect()}
+    for r, row in zip(held, rows, strict=True):
+        first = next((k for k, rule in enumerate(want, 1) if all((row[f] > e) == above for f, above, e in rule)), None)
+        assert verdict[r["doc_id"]] == (first, first is None and not base_counts(r["text"])[-1])
+
+
 def test_quality_without_labels(odd, none, labels):
     assert not quality.learn(odd, labels.filter("false")).rules
     assert not quality.learn(none, labels).rules
