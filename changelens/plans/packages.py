@@ -422,20 +422,12 @@ def source_windows_S7(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", *[F.when(ok, x).alias(name) for x, name in ((top, "top"), (left, "left"), (bottom, "bottom"), (right, "right"))])
 
 
-def _local(path: str) -> str:
-    """The driver's path of a folder in the shared one; documents for delivery are published through the driver's file system."""
-    if not path.startswith("file:"):
-        raise ValueError(f"documents are published to a mounted folder, not to {path}")
-    return "/" + path.removeprefix("file:").lstrip("/")
-
-
 @query("SELECT n_name AS name, n_nationkey::BIGINT AS key, sha256('{' || chr(10) || '  \"key\": ' || n_nationkey || ',' || chr(10) || '  \"name\": \"' || n_name || '\"' || chr(10) || '}' || chr(10)) AS sha256 FROM nation")
 def documents_K8_K11_K12_S17_H12_H17(spark, sf):
     """One manifest a nation with sorted keys, all published in one step, found by name, hashed, and parsed so that a malformed one fails."""
     folder = shared_path(spark, "manifests")
     rows = table(spark, sf, "nation").select("n_name", "n_nationkey").collect()  # 25 rows, whatever the scale
-    at = _local(folder)
-    sinks.publish({f"{at}/{r['n_nationkey']}-manifest.json": sinks.canonical({"name": r["n_name"], "key": r["n_nationkey"]}).encode() for r in rows} | {f"{at}/status.json": sinks.canonical({"done": True}).encode()})
+    sinks.publish_shared(spark, {f"{folder}/{r['n_nationkey']}-manifest.json": sinks.canonical({"name": r["n_name"], "key": r["n_nationkey"]}).encode() for r in rows} | {f"{folder}/status.json": sinks.canonical({"done": True}).encode()})
     docs = spark.read.schema("name string, key long").option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*-manifest.json").json(folder)
     docs = docs.select("name", "key", F.substring_index("_metadata.file_path", "/", -1).alias("file"))
     found = catalog.hashes(spark, folder, "*-manifest.json").select(F.substring_index("path", "/", -1).alias("file"), "sha256")

@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,3 +51,33 @@ def publish(files: dict[str, bytes]) -> None:
     finally:
         for temp, _ in staged:
             Path(temp).unlink(missing_ok=True)
+
+
+def publish_shared(spark: SparkSession, files: dict[str, bytes]) -> None:
+    """As publish(), by Spark's own file systems: a path may be of any scheme or none, as its readers take it, and need not be mounted."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    replace = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    replace[0] = hadoop.Options.Rename.OVERWRITE
+    staged = []
+    try:
+        for path, data in files.items():
+            data = bytes(memoryview(data))
+            place = hadoop.Path(path)
+            disk = place.getFileSystem(conf)
+            place = disk.makeQualified(place)
+            temp = hadoop.Path(place.getParent(), f".staged-{uuid.uuid4().hex}")
+            staged.append((disk, temp, place))
+            out = disk.create(temp)
+            try:
+                out.write(data)
+                out.hsync()
+            finally:
+                out.close()
+        while staged:
+            _, temp, place = staged[0]
+            hadoop.FileContext.getFileContext(place.toUri(), conf).rename(temp, place, replace)
+            staged.pop(0)
+    finally:
+        for disk, temp, _ in staged:
+            disk.delete(temp, False)

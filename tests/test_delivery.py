@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changelens.operators import polygons
+from changelens.plans import packages
 from changelens.plans.delivery import QUERIES, SQL
 from changelens.sources import catalog, config, rasters, sinks
 
@@ -119,6 +120,30 @@ def test_publish(tmp_path):
         sinks.compact({"x": float("nan")})
 
 
+@pytest.mark.parametrize("scheme", ["", "file://", "viewfs://store"])
+def test_publish_shared(spark, tmp_path, scheme):
+    """A folder without a scheme, one with, and one that only Hadoop's file systems can open."""
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.store.link.{tmp_path}", f"file://{tmp_path}")
+    a, b = f"{scheme}{tmp_path}/x/a.json", f"{scheme}{tmp_path}/b.json"
+    sinks.publish_shared(spark, {a: b"old", b: b"{}"})
+    sinks.publish_shared(spark, {a: '{"k":"ä"}'.encode()})
+    with pytest.raises(TypeError):
+        sinks.publish_shared(spark, {a: b"new", b: "not bytes"})
+    assert spark.read.option("wholetext", True).text(a).first()[0] == '{"k":"ä"}'
+    found = {str(f.relative_to(tmp_path)): f.read_bytes() for f in tmp_path.rglob("*") if f.is_file() and f.suffix != ".crc"}
+    assert found == {"x/a.json": '{"k":"ä"}'.encode(), "b.json": b"{}"}
+
+
+def test_documents_in_a_folder_without_a_scheme(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packages, "shared_path", lambda spark, name: f"{tmp_path}/{name}")
+    name = "documents_K8_K11_K12_S17_H12_H17"
+    con = duckdb.connect()
+    con.execute(f"create view nation as select * from '{SF}/nation.parquet'")
+    got = packages.QUERIES[name](spark, SF)
+    want = con.execute(packages.SQL[name])
+    assert sorted(tuple(r) for r in got.select(*[d[0] for d in want.description]).collect()) == sorted(want.fetchall())
+
+
 def same(a, b):
     return math.isclose(a, b, rel_tol=1e-9) if isinstance(a, float) and isinstance(b, float) else a == b
 
