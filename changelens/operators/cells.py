@@ -20,6 +20,8 @@ FLAGS = (
     "nbr_before_denominator", "nbr_denominator_failure", "nbr_valid", "ndvi_before_denominator", "ndvi_denominator_failure", "ndvi_valid", "nbr_valid_without_negative_rejection", "ndvi_valid_without_negative_rejection",
 )
 FORWARD = {4: ((0, 1), (1, 0)), 8: ((0, 1), (1, 0), (1, 1), (1, -1))}
+#: Added to places that are compared as text, so that those before the grid's first cell have no sign; the sums have 19 digits.
+_PLACE = 2**62
 
 
 def first_valid(rows: DataFrame, by: list[str], values: list[str], order: list[str]) -> DataFrame:
@@ -123,7 +125,7 @@ def components(cells: DataFrame, width: int, connectivity: int = 8, extra: list[
         return t.append_column("_root", pa.array((r * width + c)[at], pa.int64()))
 
     labelled = cut(dealt.groupBy(*keys).applyInArrow(label, T.StructType([*dealt.schema.fields, T.StructField("_root", T.LongType())])), "cells")
-    node = F.concat_ws(":", *[F.col(e).cast("string") for e in extra], F.lpad(F.col("_root").cast("string"), 18, "0")) if extra else F.col("_root")
+    node = F.concat_ws(":", *[F.col(e).cast("string") for e in extra], (F.col("_root") + F.lit(_PLACE)).cast("string")) if extra else F.col("_root")
     last = lambda x: F.pmod(F.col(x), F.lit(tile)).isin(0, tile - 1)
     edge = labelled.filter(last("r") | last("c")).select(*extra, "r", "c", "_tr", "_tc", node.alias("id")).distinct()
     shifted = edge.select(*extra, F.col("id").alias("a"), F.col("_tr").alias("_ar"), F.col("_tc").alias("_ac"), F.explode(F.array(*[F.struct((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")) for dr, dc in FORWARD[connectivity]])).alias("s"))
@@ -131,7 +133,7 @@ def components(cells: DataFrame, width: int, connectivity: int = 8, extra: list[
     roots = connected_components(met.filter("_ar != _tr or _ac != _tc").select("a", "b").distinct())
     out = labelled.withColumn("_id", node).join(roots, F.col("_id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "_id"))
     out = out.drop("_id", "node", "component", "_root", "_tr", "_tc")
-    return out.withColumn("root", F.substring_index("root", ":", -1).cast("long")) if extra else out
+    return out.withColumn("root", F.substring_index("root", ":", -1).cast("long") - F.lit(_PLACE)) if extra else out
 
 
 def keep_large(labelled: DataFrame, least: int, by: list[str]) -> DataFrame:

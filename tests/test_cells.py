@@ -143,3 +143,11 @@ def test_components_over_tiles(spark, connectivity, tile):
     single = {tuple(r) for r in O.components(df.filter("k = 2").drop("k"), w, connectivity, None, tile).select("r", "c", "root").collect()}
     assert single == {x[1:] for x in want if x[0] == 2}
     assert O.components(df.filter("false"), w, connectivity, ["k"], tile).count() == 0
+
+
+@pytest.mark.parametrize("tile", [4, 256])
+def test_components_of_runs_before_the_grid(spark, tile):
+    """A part of key 0 is the cell before the grid's first one; its place is negative."""
+    cells = spark.createDataFrame([(1, 0, -1), (1, 0, 0), (1, 5, 5), (2, 0, -1), (2, 1, 1), (3, -3, -3), (3, -2, -4), (3, 0, 0)], "run int, r long, c long")
+    got = {(x["run"], x["r"], x["c"]): x["root"] for x in O.components(cells, 10, 8, ["run"], tile).collect()}
+    assert got == {(1, 0, -1): -1, (1, 0, 0): -1, (1, 5, 5): 55, (2, 0, -1): -1, (2, 1, 1): 11, (3, -3, -3): -33, (3, -2, -4): -33, (3, 0, 0): 0}
