@@ -39,6 +39,29 @@ def coverage_label(status: Column, short: bool = False) -> Column:
     return out
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A double with one decimal or more as C's printf writes it: its exact binary value is rounded, ties to even. Null stays.
+
+    format_string() rounds the shortest decimal text, ties up. Here the fraction times the scale is a product and its
+    exact error (Dekker), so a tie is told from what lies beside it. From 2^63 on there is no fraction.
+    """
+    x, scale = x.cast("double"), 10.0**digits
+    a = F.abs(x)
+    whole = F.floor(a)
+    part = a - whole
+    product, spread = part * scale, part * 134217729.0
+    high = spread - (spread - part)
+    error = (high * scale - product) + (part - high) * scale
+    down = F.floor(product)
+    left = product - down
+    up = (left > 0.5) | ((left == 0.5) & ((error > 0) | ((error == 0) & (down % 2 == 1))))
+    n = down + F.when(up, 1).otherwise(0)
+    full = n == int(scale)
+    shown = F.concat((whole + F.when(full, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad(F.when(full, 0).otherwise(n).cast("string"), digits, "0"))
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    return F.when(a < 2.0**63, F.concat(sign, shown)).when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
+
+
 def recovery_text(value: Column) -> Column:
     return F.concat(F.format_string("%.2f", value), F.lit("×"))
 

@@ -92,7 +92,7 @@ def chart_P39(spark, sf):
     rows = object_years(spark, sf).select("label", "y", "recovery_median")
     g = rows.groupBy("label").agg(F.collect_list(F.struct("y", "recovery_median")).alias("s"), F.least(F.lit(0.0), F.min("recovery_median")).alias("lo"), F.greatest(F.lit(1.0), F.max("recovery_median")).alias("hi"))
     known = F.array_sort(F.filter("s", lambda p: p["recovery_median"].isNotNull()))
-    text = lambda p: F.concat(F.format_string("%.1f", R.chart_x(p["y"] - 1995, 7, 40.0, 600.0)), F.lit(","), F.format_string("%.1f", R.chart_y(p["recovery_median"], F.col("lo"), F.col("hi"), 20.0, 200.0)))
+    text = lambda p: F.concat(R.fixed(R.chart_x(p["y"] - 1995, 7, 40.0, 600.0), 1), F.lit(","), R.fixed(R.chart_y(p["recovery_median"], F.col("lo"), F.col("hi"), 20.0, 200.0), 1))
     return g.filter(F.size(known) > 0).select(long("label"), F.array_join(F.transform(known, text), " ").alias("points"))
 
 

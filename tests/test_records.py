@@ -1,6 +1,7 @@
 """Record, grid, check and package operators on small values, and their queries against SQL."""
 
 import json
+import math
 
 import duckdb
 import pytest
@@ -54,6 +55,21 @@ def test_rounded_number(spark):
             one(spark, lambda x: R.rounded_number(x, 2, "x"), "double", bad)
 
 
+def test_fixed_decimals_as_printf(spark):
+    """Ties and their neighbours, carries, signs and sizes, against Python's own."""
+    ties = [k / 16 for k in range(-200, 200)] + [k + 0.125 for k in (0, 1, 2**20, 2**40, 2**49)] + [0.625, 166.25, 2.0**53, 1e18]
+    values = ties + [math.nextafter(x, to) for x in ties for to in (-INF, INF)] + [k / 1000 for k in range(-1100, 1100)] + [0.995, 9.995, 99.95, 0.9999999, 1.005, -0.0, -0.001, 5e-324, 1e-9]
+    for digits in (1, 2, 4):
+        assert one(spark, lambda x: R.fixed(x, digits), "double", *values) == [f"{x:.{digits}f}" for x in values]  # noqa: B023
+    assert one(spark, lambda x: R.fixed(x, 2), "double", None, 1e19) == [None, "10000000000000000000.00"]
+
+
+def test_chart_points_at_ties(spark, monkeypatch):
+    rows = [(1, 1995, 0.1875), (1, 1996, 0.5), (1, 1997, None), (2, 1998, None)]
+    monkeypatch.setattr(records, "object_years", lambda spark, sf: spark.createDataFrame(rows, "label int, y int, recovery_median double"))
+    assert [tuple(x) for x in records.QUERIES["chart_P39"](spark, SF).collect()] == [(1, "40.0,166.2 140.0,110.0")]
+
+
 def test_paths_and_addresses(spark):
     good, bad = ["https://h/a//b", " https://h/a%20b "], ["https://h/%2e%2e/x", "https://h/./x", "https://u:p@h/x", "https://h/%2E/x", "https://h/%zz", "https://h/a%3Fx", "http://h"]
     assert one(spark, S.asset_url, "string", *good, *bad, None) == ["https://h/a/b", "https://h/a%20b", *[None] * (len(bad) + 1)]
