@@ -63,7 +63,7 @@ def fixed(x: Column, digits: int) -> Column:
 
 
 def recovery_text(value: Column) -> Column:
-    return F.concat(F.format_string("%.2f", value), F.lit("×"))
+    return F.concat(fixed(value, 2), F.lit("×"))
 
 
 def year_path(prefix: str, year: Column, suffix: str, known: Column) -> Column:

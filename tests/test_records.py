@@ -64,6 +64,10 @@ def test_fixed_decimals_as_printf(spark):
     assert one(spark, lambda x: R.fixed(x, 2), "double", None, 1e19) == [None, "10000000000000000000.00"]
 
 
+def test_recovery_texts_at_ties(spark):
+    assert one(spark, R.recovery_text, "double", 0.625, 0.375, 1.125, -0.125) == ["0.62×", "0.38×", "1.12×", "-0.12×"]
+
+
 def test_chart_points_at_ties(spark, monkeypatch):
     rows = [(1, 1995, 0.1875), (1, 1996, 0.5), (1, 1997, None), (2, 1998, None)]
     monkeypatch.setattr(records, "object_years", lambda spark, sf: spark.createDataFrame(rows, "label int, y int, recovery_median double"))
